@@ -2,6 +2,21 @@
 
 SQL: dict[str, str] = {}
 
+SQL["op2_ngram_join"] = r"""
+with recursive toks as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) end as s from toks
+), grams as (select doc_id, len(s) as n, unnest(s) as g from sets
+), pairs as (
+  select a.doc_id as x, b.doc_id as y from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), links as (select x, y from pairs union all select y, x from pairs
+), reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(y) from reach r where r.x = doc_id), doc_id)) as component_id from sets
+"""
+
 SQL["op7_sharding"] = """
 with recursive crc(i, step, v) as (
   select i, 0, i::ubigint from range(256) t(i)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, oracles, sharding
+from . import bpe, ngram_join, oracles, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(documents(spark, sf_dir), words=4, num=85, den=100)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir), "doc_id", 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -33,6 +37,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_join": op2_ngram_join,
         "op7_sharding": op7_sharding,
         "op9_bpe": op9_bpe,
     }
