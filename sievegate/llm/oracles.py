@@ -17,6 +17,48 @@ with recursive toks as (
 select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(y) from reach r where r.x = doc_id), doc_id)) as component_id from sets
 """
 
+
+def _matches(kind: str, pattern: str) -> str:
+    return f"""
+  select doc_id, t, '{kind}' as kind, h[i] as hit, (list_sum(g[1:i]) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::bigint as s
+  from (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{pattern}') as h,
+          list_transform(string_split_regex(coalesce(text, ''), '{pattern}'), lambda x: length(x)) as g from documents), unnest(range(1, len(h) + 1)) r(i)"""
+
+
+#: The contract's own patterns, and the two added kinds.
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+
+SQL["op5_pii"] = (
+    "with m as (" + "\n  union all".join(_matches(k, p) for k, p in _PII.items()) + r"""
+), v as (
+  select doc_id, t, kind, hit, s, s + length(hit) as e, regexp_replace(hit, '[^0-9]', '', 'g') as d, replace(hit, ' ', '') as c,
+    case when s > 0 then t[s] else '' end as before, t[s + length(hit) + 1] as after, lower(t[greatest(s - 40, 0) + 1 : s]) as near from m
+), ok as (
+  select doc_id, kind, s, e from v where case kind
+    when 'email' then true
+    when 'ip' then list_bool_and(list_transform(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) <= 3 and coalesce(try_cast(ltrim(p, '0') as int), 0) <= 255))
+    when 'card' then length(d) between 16 and 19 and list_sum(list_transform(range(length(d)), lambda i:
+      case when i % 2 = 0 then d[length(d) - i]::int when d[length(d) - i]::int > 4 then d[length(d) - i]::int * 2 - 9 else d[length(d) - i]::int * 2 end)) % 10 = 0
+    when 'phone' then length(d) between 8 and 15
+    when 'iban' then not regexp_matches(before, '[A-Za-z0-9]') and not regexp_matches(after, '[A-Za-z0-9]') and length(c) between 15 and 34 and
+      list_reduce(list_prepend(0, list_transform(range(1, length(c) + 1), lambda i: ascii((c[5:] || c[1:4])[i]))), lambda a, x: case when x < 58 then (a * 10 + x - 48) % 97 else (a * 100 + x - 55) % 97 end) = 1
+    else not regexp_matches(before, '[0-9-]') and not regexp_matches(after, '[0-9-]') and hit[1:3] not in ('000', '666') and hit[1:3] < '900'
+      and hit[5:6] <> '00' and hit[8:11] <> '0000' and regexp_matches(near, '(?:^|[^a-z])(?:ssn|social security|tax id)') end
+), k as (select *, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind) as o, kind || ':' || s || ':' || e as p from ok)
+select d.doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip,
+  count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
+  sha256(coalesce(string_agg(p, ',' order by o, s) filter (where o <= 4), '')) as base_sha256, coalesce(string_agg(p, ',' order by o, s), '') as spans
+from documents d left join k on d.doc_id = k.doc_id group by d.doc_id
+"""
+)
+
 SQL["op7_sharding"] = """
 with recursive crc(i, step, v) as (
   select i, 0, i::ubigint from range(256) t(i)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, oracles, sharding
+from . import bpe, ngram_join, oracles, pii_spans, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(documents(spark, sf_dir), words=4, num=85, den=100)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_spans.find(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    base = F.transform(F.filter("spans", lambda s: s["kind"].isin(*pii_spans.BASE)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    number = [(F.size("spans") - F.size(F.array_remove("spans.kind", k))).cast("long").alias(f"n_{k}") for k in pii_spans.BASE]
+    return found.select("doc_id", *number, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(places, ",").alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir), "doc_id", 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -38,6 +46,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_join": op2_ngram_join,
+        "op5_pii": op5_pii,
         "op7_sharding": op7_sharding,
         "op9_bpe": op9_bpe,
     }
