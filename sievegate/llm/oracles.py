@@ -2,6 +2,20 @@
 
 SQL: dict[str, str] = {}
 
+SQL["op1_decontaminate"] = r"""
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
+), b as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w, least(5, len(w)) as k from benchmark
+), items as (
+  select item_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')))) as g from b where len(w) > 0
+), sizes as (select item_id, count(*) as n from items group by item_id
+), held as (
+  select distinct doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as g
+  from d, (select distinct k from items) where len(w) >= k
+)
+select doc_id, item_id, n as n_shingles, count(*) as n_matched, count(*) / n as containment
+from held join items using (k, g) join sizes using (item_id) group by doc_id, item_id, n having count(*) * 100 >= n * 80
+"""
+
 SQL["op2_ngram_join"] = r"""
 with recursive toks as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents

@@ -8,12 +8,10 @@ a group would repeat, the separators that it allows are first masked by U+0001,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import let, need
 
 #: Kinds in their order, with the score before context. The first four are always kept.
 BASE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6}
@@ -41,11 +39,6 @@ IBAN = r"[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value computed once: inside a lambda a plain column would be computed for each element."""
-    return F.transform(F.array(value), then)[0]
-
-
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<hit, start, end>> of the pattern's non-overlapping matches, leftmost first.
 
@@ -67,14 +60,14 @@ def matches(text: Column, pattern: str) -> Column:
 
             return F.transform(v["hits"], one)
 
-        return _let(F.struct(blocks.alias("sums")), row)
+        return let(F.struct(blocks.alias("sums")), row)
 
     def stepped(v: Column) -> Column:
         step = F.transform(v["hits"], lambda h, i: F.length(h) + F.get(v["gap"], i))
-        return _let(F.struct(v["hits"].alias("hits"), v["gap"].alias("gap"), step.alias("step")), placed)
+        return let(F.struct(v["hits"].alias("hits"), v["gap"].alias("gap"), step.alias("step")), placed)
 
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), gaps.alias("gap")), stepped)
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), gaps.alias("gap")), stepped)
 
 
 def _masked(text: Column, separators: str) -> Column:

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, oracles, pii_spans, sharding
+from . import bpe, decontaminate, ngram_join, oracles, pii_spans, sharding, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(documents(spark, sf_dir), words=4, num=85, den=100)
 
@@ -26,6 +30,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *number, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(places, ",").alias("spans"))
 
 
+#: The contract's rules.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir), "doc_id", 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -45,8 +58,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_ngram_join": op2_ngram_join,
         "op5_pii": op5_pii,
+        "op6_url_filter": op6_url_filter,
         "op7_sharding": op7_sharding,
         "op9_bpe": op9_bpe,
     }
