@@ -66,10 +66,10 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         at = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a chunk, A-Z lower-cased, and for each row the index of its first word (one more at the end)."""
+def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte of each word of a chunk, and for each row the index of its first word (one more at the end)."""
     if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
     solid = ~BLANK[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -78,10 +78,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop = solid
     stop[:-1] &= ~solid[1:] | edge[1:-1]
     start, stop = np.flatnonzero(start), np.flatnonzero(stop)
+    return start, stop, np.searchsorted(start, offsets)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from start to stop, A-Z lower-cased."""
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
     up, down = powers(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUE[LOWER[data]] * up[: len(data)], out=total[1:], dtype=np.uint64)
-    return mix((total[stop + 1] - total[start]) * down[start]), np.searchsorted(start, offsets)
+    return mix((total[stop + 1] - total[start]) * down[start])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a chunk, and for each row the index of its first word (one more at the end)."""
+    start, stop, first = places(data, offsets)
+    return hashes(data, start, stop), first
 
 
 def shingles(word: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, oracles, pii_spans, sharding, spotsigs, url_filter
+from . import bpe, decontaminate, langid, ngram_join, oracles, pii_spans, quality, sharding, spotsigs, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(documents(spark, sf_dir), words=4, num=85, den=100)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.train(docs, labels.where(quality.fold(F.col("doc_id"), 5) != 0))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.train(docs.where(quality.fold(F.col("doc_id"), 4) != 2))
+    guessed = langid.predict(docs.select("doc_id", "text"), profiles)
+    return guessed.select("doc_id", (quality.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans.find(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     places = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
@@ -73,6 +88,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_ngram_join": op2_ngram_join,
+        "op3_quality": op3_quality,
+        "op4_langid": op4_langid,
         "op5_pii": op5_pii,
         "op6_url_filter": op6_url_filter,
         "op7_sharding": op7_sharding,
