@@ -11,9 +11,9 @@ the same shingles there. Each set is dealt under (size class, group, hash of the
 link is lost, and a passage or line shared by many texts does not bring them together, for their
 other shingles fall into its groups. Equal sets are one point from the start.
 
-In each block all members are first verified against the smallest one; members that are in one
-component then need no further pair. What is left of a block goes through the R-tree, in tiles of a
-bounded number of points.
+In each block all members are first verified against its pivot, the member that is in most blocks;
+members that are in one component then need no further pair. What is left of a pivot's neighbourhood,
+all that met it in a block, goes through the R-tree in tiles of a bounded number of points.
 """
 
 from __future__ import annotations
@@ -85,33 +85,36 @@ def counts(own: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """Whether two sorted sets link: the bound by summed minima first, then the shared shingles themselves."""
-    enough = num * (len(a) + len(b))
-    if int(np.minimum(counts(a), counts(b)).sum()) * (num + den) < enough:
-        return False
+    """Whether two sorted sets link, by the shingles themselves."""
     both = np.sort(np.concatenate((a, b)))
-    return int((both[1:] == both[:-1]).sum()) * (num + den) >= enough
+    return int((both[1:] == both[:-1]).sum()) * (num + den) >= num * (len(a) + len(b))
 
 
 class CountTree:
     """R-tree over group counts, bulk-loaded by halving along the coordinate of the widest spread."""
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray | None = None):
+    def __init__(self, points: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None):
         rows = np.arange(len(points)) if rows is None else rows
         own = points[rows]
         self.rows, self.most, self.least = rows, own.max(axis=0), int(own.sum(axis=1).min())
+        self.labels = int(labels[rows].min()), int(labels[rows].max())
         self.parts: list[CountTree] = []
         if len(rows) > LEAF:
             wide = int(np.argmax(self.most - own.min(axis=0)))
             order = rows[np.argsort(own[:, wide], kind="stable")]
             half = len(order) // 2
-            self.parts = [CountTree(points, order[:half]), CountTree(points, order[half:])]
+            self.parts = [CountTree(points, labels, order[:half]), CountTree(points, labels, order[half:])]
 
     def join(self, other: CountTree, points: np.ndarray, others: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows of both sides whose summed coordinate minima reach what a link needs; each pair of a tree with itself once or twice."""
+        """Rows of both sides whose summed coordinate minima reach what a link needs; each pair of a tree with itself once or twice.
+
+        Subtrees that hold one label only are not joined to each other.
+        """
         stack = [(self, other)]
         while stack:
             a, b = stack.pop()
+            if a.labels == b.labels and a.labels[0] == a.labels[1]:
+                continue
             if int(np.minimum(a.most, b.most).sum()) * (num + den) < num * (a.least + b.least):
                 continue
             if not a.parts and not b.parts:
@@ -164,13 +167,36 @@ def _dealt(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _loaded(df: DataFrame, k: int) -> DataFrame:
-    """sid, own (the sorted set as bytes) for each row of (key, text)."""
+    """sid, own (the sorted set as bytes), point (its group counts as bytes) of rows of (key, text), once for each task that meets a set."""
 
     def run(batches):
+        seen: set[int] = set()
         for _, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "own"])
+            new = {sid: x for x in sets if (sid := set_id(x)) not in seen}
+            seen.update(new)
+            points = [counts(x).astype(np.int32).tobytes() for x in new.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([x.tobytes() for x in new.values()], pa.binary()), pa.array(points, pa.binary())], names=["sid", "own", "point"])
+
+    return df.mapInArrow(run, "sid long, own binary, point binary")
 
-    return df.mapInArrow(run, "sid long, own binary")
+
+def _points(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose summed coordinate minima reach what a link needs; only points are moved."""
+    left = sets.select(F.col("sid").alias("a"), F.col("point").alias("p"))
+    right = sets.select(F.col("sid").alias("b"), F.col("point").alias("q"))
+
+    def run(batches):
+        for batch in batches:
+            p, q = _points(batch.column(2)), _points(batch.column(3))
+            keep = np.minimum(p, q).sum(axis=1) * (num + den) >= num * (p.sum(axis=1) + q.sum(axis=1))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -189,15 +215,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different labels that an R-tree leaves of each tile pair of a block.
+    """Pairs (a, b), a < b, of different labels that an R-tree leaves of each tile pair of a neighbourhood.
 
-    rest: block, sid, n, label, own. A block's members in order of size are cut into tiles; each pair
-    of tiles is one group, so a block of any size is spread over tasks that hold two tiles at most.
+    rest: pivot, sid, n, label, point. Members in order of size are cut into tiles; each pair of tiles
+    is one group, so a neighbourhood of any size is spread over tasks that hold two tiles at most.
     """
-    order = Window.partitionBy("block")
+    order = Window.partitionBy("pivot")
     tiled = rest.withColumn("tile", F.floor((F.row_number().over(order.orderBy("n", "sid")) - 1) / TILE).cast("int")).withColumn("tiles", F.max("tile").over(order) + 1)
-    dealt = tiled.select("block", "sid", "label", "own", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
-    dealt = dealt.select("block", F.least("tile", "t").alias("i"), F.greatest("tile", "t").alias("j"), "tile", "sid", "label", "own")
+    dealt = tiled.select("pivot", "sid", "label", "point", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    dealt = dealt.select("pivot", F.least("tile", "t").alias("i"), F.greatest("tile", "t").alias("j"), "tile", "sid", "label", "point")
 
     def pairs(block):
         points = np.stack([x[3] for x in block])
@@ -205,12 +231,12 @@ def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
         tile = np.array([x[0] for x in block])
         low = tile == tile.min()
         if low.all():
-            tree = CountTree(points)
+            tree = CountTree(points, label)
             found = tree.join(tree, points, points, num, den)
             own = other = np.arange(len(block))
         else:
             own, other = np.flatnonzero(low), np.flatnonzero(~low)
-            found = CountTree(points[own]).join(CountTree(points[other]), points[own], points[other], num, den)
+            found = CountTree(points[own], label[own]).join(CountTree(points[other], label[other]), points[own], points[other], num, den)
         for p, q in found:
             p, q = own[p], other[q]
             keep = label[p] != label[q]
@@ -227,11 +253,11 @@ def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
                     at, block = key, []
                 tile, sid, label = (batch.column(c)[r].as_py() for c in (3, 4, 5))
-                block.append((tile, sid, label, counts(np.frombuffer(batch.column(6)[r].as_buffer(), dtype=np.uint64))))
+                block.append((tile, sid, label, np.frombuffer(batch.column(6)[r].as_buffer(), dtype=np.int32)))
         for found in pairs(block) if len(block) > 1 else ():
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    spread = dealt.repartition(partitions(rest.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    spread = dealt.repartition(partitions(rest.sparkSession), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -251,24 +277,27 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     sized = written(_sized(src, words))
 
     block = Window.partitionBy("block")
-    again = F.lag("sid").over(block.orderBy("n", "sid"))
-    dealt = _dealt(src, words, num, den).withColumn("first", F.min(F.struct("n", "sid")).over(block)).withColumn("last", F.max(F.struct("n", "sid")).over(block))
-    blocks = written(dealt.withColumn("again", again).where("first <> last and not (again <=> sid)").select("block", "sid", "n", F.col("first.sid").alias("pivot"), F.col("first.n").alias("least")))
-
-    wanted = blocks.select("sid").distinct().join(sized.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")), "sid").select("key").where("key is not null")
-    nameless = src.where("key is null")
-    held = src.join(wanted, "key", "left_semi").unionByName(nameless)
-    sets = written(_loaded(held, words).groupBy("sid").agg(F.first("own").alias("own")))
-
-    stars = blocks.where(f"sid <> pivot and {den} * least >= {num} * n").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    links = written(_verified(stars, sets, num, den))
+    dealt = _dealt(src, words, num, den).select("*", F.min("sid").over(block).alias("x"), F.max("sid").over(block).alias("y"), F.lag("sid").over(block.orderBy("sid")).alias("before"))
+    shared = written(dealt.where("x <> y and not (before <=> sid)").select("block", "sid", "n"))
+    degree = shared.groupBy("sid").agg(F.count("*").alias("degree"))
+    met = shared.join(degree, "sid").withColumn("pivot", F.max(F.struct("degree", "sid", "n")).over(block))
+    near = f"least(n, pivot.n) * {den} >= greatest(n, pivot.n) * {num}"
+    stars = written(met.where("sid <> pivot.sid").select(F.col("pivot.sid").alias("pivot"), "sid", "n", F.expr(near).alias("near")).distinct())
+
+    alone = shared.select("sid").distinct()
+    wanted = alone.join(sized.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")), "sid").select("key")
+    named = _loaded(src.join(wanted, "key", "left_semi"), words)
+    nameless = _loaded(src.where("key is null"), words).join(alone, "sid", "left_semi").groupBy("sid").agg(F.first("own").alias("own"), F.first("point").alias("point"))
+    sets = written(named.unionByName(nameless))
+
+    links = written(_verified(_bounded(stars.where("near").select(F.col("pivot").alias("a"), F.col("sid").alias("b")), sets, num, den), sets, num, den))
     root = graph.components(links)
 
-    labelled = blocks.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
-    spans = labelled.withColumn("x", F.min("label").over(block)).withColumn("y", F.max("label").over(block)).withColumn("members", F.count("*").over(block))
-    rest = written(spans.where("x <> y and members > 2").select("block", "sid", "n", "label"))
+    around = Window.partitionBy("pivot")
+    labelled = stars.join(root.withColumnRenamed("node", "sid"), "sid", "left").select("pivot", "sid", "n", F.coalesce("root", "sid").alias("label"))
+    rest = written(labelled.select("*", F.min("label").over(around).alias("x"), F.max("label").over(around).alias("y")).where("x <> y").drop("x", "y"))
     if not rest.isEmpty():
-        more = written(_verified(_tree_pairs(rest.join(sets, "sid"), num, den), sets, num, den))
+        more = written(_verified(_tree_pairs(rest.join(sets.select("sid", "point"), "sid"), num, den), sets, num, den))
         root = graph.components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     full = sized.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
