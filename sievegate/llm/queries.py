@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, decontaminate, langid, ngram_join, oracles, pii_spans, quality, sharding, spotsigs, suffix_dedup, url_filter
 
 
@@ -102,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_spotsigs": op8_spotsigs,
         "op9_bpe": op9_bpe,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
