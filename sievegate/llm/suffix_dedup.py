@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from .common import need, partitions, written
 U = np.uint64
 LOW = (1 << 48) - 1
 #: Anchors packed at once by a task, and bytes of contexts in a suffix array's shard.
-PACK, SHARD = 3_000_000, 1 << 20
+PACK, SHARD = 1_000_000, 1 << 20
 
 
 def gram_of(length: int) -> int:
@@ -183,47 +184,41 @@ def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # contexts and their strings
 
 #: A context on its way to its anchor's partition, and what comes back: strings to remove as bits.
-CONTEXT = "bucket int, mark long, key long, id binary, lead int, bits long, body binary"
+CONTEXT = "bucket int, gram long, mark long, key long, id binary, lead int, bits long, body binary"
 FOUND = "key long, id binary, mark long, bits long"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of (key, id, text, grams): bucket >= 0 to be judged, -1 where a lesser key of this task has the same context."""
-    best: dict[int, int] = {}
+    """Contexts of (key, id, text, grams): bucket >= 0 to be judged, -1 where a lesser key of this chunk has the same context."""
     for batch in batches:
-        column = {c: [] for c in ("bucket", "mark", "key", "id", "lead", "bits", "body")}
-        size = 0
         for a, b, data, offsets in hashing.chunks(batch.column(2)):
-            texts = Texts(data, offsets, length)
+            texts, found = Texts(data, offsets, length), []
+            keys = np.array(batch.column(0).slice(a, b - a).to_pylist(), dtype=np.int64)
             for row in range(b - a):
                 shared = np.frombuffer(b"".join(batch.column(3)[a + row].as_py()), dtype=np.uint64)
                 at, start, stop, bits, mark, own = texts.contexts(row, shared)
-                _, first = np.unique(mark, return_index=True)
-                key, rid, base = batch.column(0)[a + row].as_py(), batch.column(1)[a + row].as_py(), int(offsets[row])
-                for i in first.tolist():
-                    m = int(mark[i])
-                    known = best.get(m)
-                    settled = known is not None and known < key
-                    if not settled:
-                        best[m] = key
-                    column["bucket"].append(-1 if settled else int((int(own[i]) >> 48) * buckets >> 16))
-                    column["mark"].append(m - (1 << 64) if m >> 63 else m)
-                    column["key"].append(key)
-                    column["id"].append(rid)
-                    column["lead"].append(int(at[i] - start[i]))
-                    column["bits"].append(int(bits[i]))
-                    column["body"].append(b"" if settled else data[base + start[i] : base + stop[i]].tobytes())
-                    size += 1
-            if size > 50_000:
-                yield _batch(column)
-                column, size = {c: [] for c in column}, 0
-        if size:
-            yield _batch(column)
-
-
-def _batch(column: dict[str, list]) -> pa.RecordBatch:
-    kind = {"bucket": pa.int32(), "lead": pa.int32(), "id": pa.binary(), "body": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kind.get(c, pa.int64())) for c, v in column.items()], names=list(column))
+                if len(at):
+                    _, first = np.unique(mark, return_index=True)
+                    base = int(offsets[row])
+                    found.append((np.full(len(first), row), mark[first], own[first], bits[first], at[first] - start[first], base + start[first], base + stop[first]))
+            if not found:
+                continue
+            row, mark, own, bits, lead, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((keys[row], mark))
+            sorted_mark = mark[order]
+            cuts = np.flatnonzero(np.concatenate(([True], sorted_mark[1:] != sorted_mark[:-1])))
+            least = np.empty(len(mark), dtype=np.int64)
+            least[order] = np.repeat(keys[row][order][cuts], np.diff(np.append(cuts, len(mark))))
+            settled = keys[row] > least
+            size = np.where(settled, 0, stop - start)
+            ends = np.concatenate(([0], np.cumsum(size)))
+            body = data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+            bodies = pa.BinaryArray.from_buffers(pa.binary(), len(mark), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body.tobytes())])
+            bucket = np.where(settled, -1, ((own >> U(48)) * U(buckets) >> U(16)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket.astype(np.int32)), pa.array((own & U(LOW)).astype(np.int64)), pa.array(mark.view(np.int64)), pa.array(keys[row]), batch.column(1).slice(a, b - a).take(pa.array(row)), pa.array(lead.astype(np.int32)), pa.array(bits.astype(np.int64)), bodies],
+                names=["bucket", "gram", "mark", "key", "id", "lead", "bits", "body"],
+            )
 
 
 def suffix_array(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -318,49 +313,69 @@ def distinct_strings(bodies: list[bytes], lead: np.ndarray, bits: np.ndarray, ke
     return np.ascontiguousarray(closed).view(f"S{length + 1}").ravel(), least, context, bit, number
 
 
+def _runs(gram: np.ndarray, size: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Places of contexts in order of their anchors, as runs of shards: whole anchors up to SHARD bytes, or one anchor's contexts in several shards."""
+    cuts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
+    upto = np.concatenate(([0], np.cumsum(size)))
+    i = 0
+    while i < len(cuts) - 1:
+        j = max(i + 1, int(np.searchsorted(upto[cuts], upto[cuts[i]] + SHARD, side="right")) - 1)
+        a, b = int(cuts[i]), int(cuts[j])
+        inner = np.searchsorted(upto, np.arange(upto[a] + SHARD, upto[b], SHARD))
+        yield [x for x in np.split(np.arange(a, b), inner - a) if len(x)]
+        i = j
+
+
 def _judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Strings to remove of the contexts of a partition, in which all contexts of an anchor are."""
-    marks, keys, ids, leads, bits, bodies = [], [], [], [], [], []
+    parts, names = [], ["key", "id", "mark", "bits"]
     for batch in batches:
         live = batch.column(0).to_numpy() >= 0
         if not live.all():
             gone = batch.filter(pa.array(~live))
-            yield pa.RecordBatch.from_arrays([gone.column(2), gone.column(3), gone.column(1), gone.column(5)], names=["key", "id", "mark", "bits"])
+            yield pa.RecordBatch.from_arrays([gone.column(3), gone.column(4), gone.column(2), gone.column(6)], names=names)
             batch = batch.filter(pa.array(live))
-        marks.append(batch.column(1).to_numpy())
-        keys.append(batch.column(2).to_numpy())
-        ids += batch.column(3).to_pylist()
-        leads.append(batch.column(4).to_numpy())
-        bits.append(batch.column(5).to_numpy())
-        bodies += batch.column(6).to_pylist()
-    if not bodies:
+        parts.append(batch)
+    if not sum(x.num_rows for x in parts):
         return
-    mark, key, lead, bit = (np.concatenate(x) for x in (marks, keys, leads, bits))
-    order = np.lexsort((key, mark))
-    new = np.concatenate(([True], mark[order][1:] != mark[order][:-1]))
+    table = pa.Table.from_batches(parts)
+    gram, mark, key, lead, bit = (table.column(c).to_numpy() for c in ("gram", "mark", "key", "lead", "bits"))
+    order = np.lexsort((key, mark, gram))
+    new = np.concatenate(([True], (mark[order][1:] != mark[order][:-1]) | (gram[order][1:] != gram[order][:-1])))
     lone = order[new]
-    least = np.empty(len(mark), dtype=np.int64)
-    least[order] = key[lone][np.cumsum(new) - 1]
-    remove = np.where(key > least, bit, 0)
-    # the rest: one context of each kind, shard by shard
-    shards, table, owner = [], np.zeros(0, dtype=f"S{length + 1}"), np.zeros(0, dtype=np.int64)
-    sizes = np.cumsum([len(bodies[i]) for i in lone])
-    for part in np.split(lone, np.searchsorted(sizes, np.arange(SHARD, sizes[-1], SHARD))):
-        if len(part):
-            strings, own, context, at, number = distinct_strings([bodies[i] for i in part], lead[part], bit[part], key[part], length)
-            place = np.searchsorted(table, strings)
-            known = place < len(table)
-            known[known] = table[place[known]] == strings[known]
-            owner[place[known]] = np.minimum(owner[place[known]], own[known])
-            table, owner = np.insert(table, place[~known], strings[~known]), np.insert(owner, place[~known], own[~known])
-            shards.append((part, strings, context, at, number))
-    for part, strings, context, at, number in shards:
-        lesser = owner[np.searchsorted(table, strings)][number] < key[part][context]
-        np.bitwise_or.at(remove, part[context[lesser]], np.int64(1) << at[lesser].astype(np.int64))
-    # a context whose least key repeats has the same strings under the same key
-    remove[order] = np.where(key[order] == least[order], np.repeat(remove[lone], np.diff(np.append(np.flatnonzero(new), len(order)))), remove[order])
+    kind = np.cumsum(new) - 1
+    least = key[lone][kind]
+    remove = np.zeros(len(mark), dtype=np.int64)
+    remove[order] = np.where(key[order] > least, bit[order], 0)
+    # the rest: one context of each kind, of the anchors that have several
+    grams = gram[lone]
+    several = np.zeros(len(lone), dtype=bool)
+    several[1:] |= grams[1:] == grams[:-1]
+    several[:-1] |= grams[1:] == grams[:-1]
+    rest = np.flatnonzero(several)
+    more = np.zeros(len(lone), dtype=np.int64)
+    body = table.column("body").take(pa.array(lone[rest]))
+    sizes = pc.binary_length(body).to_numpy().astype(np.int64)
+    for run in _runs(grams[rest], sizes):
+        strings_of = lambda at: distinct_strings(body.take(pa.array(at)).to_pylist(), lead[lone[rest[at]]], bit[lone[rest[at]]], key[lone[rest[at]]], length)
+        found = strings_of(run[0])
+        known, owner = found[0], found[1]
+        for at in run[1:]:  # binary search merges the next shard's list
+            strings, own = strings_of(at)[:2]
+            place = np.searchsorted(known, strings)
+            same = place < len(known)
+            same[same] = known[place[same]] == strings[same]
+            owner[place[same]] = np.minimum(owner[place[same]], own[same])
+            known, owner = np.insert(known, place[~same], strings[~same]), np.insert(owner, place[~same], own[~same])
+        for at in run:
+            strings, _, context, place, number = found if len(run) == 1 else strings_of(at)
+            lesser = owner[np.searchsorted(known, strings)][number] < key[lone[rest[at]]][context]
+            np.bitwise_or.at(more, rest[at[context[lesser]]], np.int64(1) << place[lesser].astype(np.int64))
+    # rows of the least key itself, which may repeat, lose what their kind loses
+    remove[order] |= np.where(key[order] == least, more[kind], 0)
     hit = np.flatnonzero(remove)
-    yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array([ids[i] for i in hit], pa.binary()), pa.array(mark[hit]), pa.array(remove[hit])], names=["key", "id", "mark", "bits"])
+    kept = table.select(["key", "id", "mark"]).take(pa.array(hit)).append_column("bits", pa.array(remove[hit]))
+    yield from kept.to_batches(max_chunksize=50_000)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
