@@ -24,7 +24,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

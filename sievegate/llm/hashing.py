@@ -50,7 +50,7 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(16, (size - 1).bit_length()))
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, last row (exclusive), UTF-8 bytes and row offsets of parts of about limit bytes; null is empty.
 
     A row is never cut, so one very long text makes one larger part.

@@ -30,8 +30,8 @@ from . import graph, hashing
 from .common import need, partitions, written
 
 U = np.uint64
-#: Groups that make the points.
-GROUPS = 64
+#: Groups that make the tree's points, and the most that make a set's fine point, which has one for every four shingles.
+GROUPS, FINEST = 64, 1 << 14
 #: Points in one task's tile of a block, and in a leaf.
 TILE, LEAF = 2048, 32
 
@@ -80,8 +80,20 @@ def set_id(own: np.ndarray) -> int:
     return int(hashing.mix(hashing.mix(own).sum(dtype=np.uint64, keepdims=True) + U(len(own)))[0].astype(np.int64)) if len(own) else 0
 
 
-def counts(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own >> U(58)).astype(np.int64), minlength=GROUPS)
+def counts(own: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Group counts of a set; groups is a power of two, and fewer groups' counts are sums of neighbours."""
+    return np.bincount((own >> U(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def fine_point(own: np.ndarray) -> np.ndarray:
+    return counts(own, min(FINEST, max(GROUPS, 1 << (len(own) // 4).bit_length()))).astype(np.uint16)
+
+
+def may_link(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
+    """Whether the summed minima of two points, at the coarser one's groups, reach what a link needs."""
+    n = min(len(p), len(q))
+    p, q = (x.astype(np.int64).reshape(n, -1).sum(axis=1) for x in (p, q))
+    return int(np.minimum(p, q).sum()) * (num + den) >= num * int(p.sum() + q.sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -167,34 +179,29 @@ def _dealt(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _loaded(df: DataFrame, k: int) -> DataFrame:
-    """sid, own (the sorted set as bytes), point (its group counts as bytes) of rows of (key, text), once for each task that meets a set."""
+    """sid, own (the sorted set as bytes), fine and point (its group counts as bytes) of rows of (key, text), once for each task that meets a set."""
 
     def run(batches):
         seen: set[int] = set()
         for _, sets in _sets(batches, k):
             new = {sid: x for x in sets if (sid := set_id(x)) not in seen}
             seen.update(new)
-            points = [counts(x).astype(np.int32).tobytes() for x in new.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([x.tobytes() for x in new.values()], pa.binary()), pa.array(points, pa.binary())], names=["sid", "own", "point"])
-
-    return df.mapInArrow(run, "sid long, own binary, point binary")
-
+            made = [[x.tobytes() for x in new.values()], [fine_point(x).tobytes() for x in new.values()], [counts(x).astype(np.int32).tobytes() for x in new.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), *[pa.array(x, pa.binary()) for x in made]], names=["sid", "own", "fine", "point"])
 
-def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+    return df.mapInArrow(run, "sid long, own binary, fine binary, point binary")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose summed coordinate minima reach what a link needs; only points are moved."""
-    left = sets.select(F.col("sid").alias("a"), F.col("point").alias("p"))
-    right = sets.select(F.col("sid").alias("b"), F.col("point").alias("q"))
+    left = sets.select(F.col("sid").alias("a"), F.col("fine").alias("p"))
+    right = sets.select(F.col("sid").alias("b"), F.col("fine").alias("q"))
 
     def run(batches):
         for batch in batches:
-            p, q = _points(batch.column(2)), _points(batch.column(3))
-            keep = np.minimum(p, q).sum(axis=1) * (num + den) >= num * (p.sum(axis=1) + q.sum(axis=1))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+            load = lambda column, i: np.frombuffer(column[i].as_buffer(), dtype=np.uint16)
+            keep = [may_link(load(batch.column(2), i), load(batch.column(3), i), num, den) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
@@ -208,8 +215,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         for batch in batches:
             load = lambda column, i: np.frombuffer(column[i].as_buffer(), dtype=np.uint64)
             keep = [linked(load(batch.column(2), i), load(batch.column(3), i), num, den) for i in range(batch.num_rows)]
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -287,7 +293,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     alone = shared.select("sid").distinct()
     wanted = alone.join(sized.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")), "sid").select("key")
     named = _loaded(src.join(wanted, "key", "left_semi"), words)
-    nameless = _loaded(src.where("key is null"), words).join(alone, "sid", "left_semi").groupBy("sid").agg(F.first("own").alias("own"), F.first("point").alias("point"))
+    nameless = _loaded(src.where("key is null"), words).join(alone, "sid", "left_semi").groupBy("sid").agg(F.first("own").alias("own"), F.first("fine").alias("fine"), F.first("point").alias("point"))
     sets = written(named.unionByName(nameless))
 
     links = written(_verified(_bounded(stars.where("near").select(F.col("pivot").alias("a"), F.col("sid").alias("b")), sets, num, den), sets, num, den))
@@ -297,7 +303,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     labelled = stars.join(root.withColumnRenamed("node", "sid"), "sid", "left").select("pivot", "sid", "n", F.coalesce("root", "sid").alias("label"))
     rest = written(labelled.select("*", F.min("label").over(around).alias("x"), F.max("label").over(around).alias("y")).where("x <> y").drop("x", "y"))
     if not rest.isEmpty():
-        more = written(_verified(_tree_pairs(rest.join(sets.select("sid", "point"), "sid"), num, den), sets, num, den))
+        close = _tree_pairs(rest.join(sets.select("sid", "point"), "sid"), num, den)
+        more = written(_verified(_bounded(close, sets, num, den), sets, num, den))
         root = graph.components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     full = sized.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
