@@ -263,3 +263,19 @@ def lineage_mermaid(spark, sf_dir):
 @query("order_price_percentiles", "with r as (select o_orderpriority, o_totalprice as v, row_number() over (partition by o_orderpriority order by o_totalprice) - 1 as i, count(*) over (partition by o_orderpriority) as n from orders) select o_orderpriority, min(v) as least, max(v) filter (where i = n // 2) as middle, max(v) filter (where i = least(n * 95 // 100, n - 1)) as p95, max(v) as most from r group by 1")
 def order_price_percentiles(spark, sf_dir):
     return stats.order_stats(table(spark, sf_dir, "orders"), F.col("o_totalprice"), {"least": "0", "middle": "floor(n / 2)", "p95": "least(floor(n * 95 / 100), n - 1)", "most": "n - 1"}, ["o_orderpriority"])
+
+
+@query("stream_tumbling", f"with {_E} select project_id, to_timestamp(floor(epoch_us(ts) / 3600000000) * 3600)::timestamp as window_start, count(*) as requests, greatest(0, count(*) - 5)::bigint as limited from e group by 1, 2")
+def stream_tumbling(spark, sf_dir):
+    """The hourly rate limit computed by a stream that reads the table once."""
+    import uuid
+
+    from sievegate.streaming import windows
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    rows = stream.select(F.col("event_type").alias("project_id"), F.col("ts").cast("timestamp").alias("ts"))
+    name = f"stream_{uuid.uuid4().hex}"
+    counted = windows.rate_limit(rows, "project_id", "ts", 5, 3600)
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

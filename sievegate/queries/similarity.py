@@ -243,3 +243,10 @@ def dense_cosine_pairs(spark, sf_dir):
 @query("gate")
 def full_gate(spark, sf_dir):
     return gate.run(train(spark, sf_dir), held(spark, sf_dir), decision.Criteria(max_pii_hits=0, min_f1=0.6), f1=0.7)
+
+
+@query("topics")
+def topic_terms(spark, sf_dir):
+    from sievegate.operators import topics
+
+    return topics.topics(topics.assign(documents(spark, sf_dir), "doc_id"))

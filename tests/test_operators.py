@@ -325,3 +325,14 @@ def test_gate(spark):
     assert (got["recommendation"], got["contamination"]) == ("SHIP", "PASS")
     leaked = gate.run(train, train.limit(1), decision.Criteria(max_pii_hits=0)).first()
     assert (leaked["recommendation"], leaked["exit_code"]) == ("DONT_SHIP", 1)
+
+
+def test_topics(spark):
+    from sievegate.operators import topics
+
+    df = docs(spark, *[f"cats dogs pets animals fur{i % 3}" for i in range(12)], *[f"stocks bonds market money fund{i % 3}" for i in range(12)])
+    found = topics.topics(topics.assign(df, "doc_id"))
+    rows = found.collect()
+    assert sum(r["size"] for r in rows) == 24 and len(rows) == topics.topic_count(24) and all(1 <= len(r["terms"]) <= 5 for r in rows)
+    assert 0 <= topics.diversity(found).first()[0] <= 1
+    assert topics.assign(docs(spark, "a b"), "doc_id").count() == 0
