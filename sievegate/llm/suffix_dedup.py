@@ -16,6 +16,7 @@ shards' lists are merged by binary search. A string that a lesser key holds is r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -29,9 +30,12 @@ from . import hashing
 from .common import need, partitions, written
 
 U = np.uint64
-LOW = (1 << 48) - 1
+#: Bits of a gram's hash that are sent, beside its bucket.
+LOW = (1 << 40) - 1
+#: The key of a gram that several documents of a task hold.
+SEVERAL = np.int64(-(2**63))
 #: Anchors packed at once by a task, and bytes of contexts in a suffix array's shard.
-PACK, SHARD = 1_000_000, 1 << 20
+PACK, SHARD = 500_000, 1 << 20
 
 
 def gram_of(length: int) -> int:
@@ -48,6 +52,32 @@ def _slide(x: np.ndarray, size: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
 
 
+@functools.lru_cache(maxsize=2)
+def _spread(size: int) -> np.ndarray:
+    return hashing.powers(size)[1] * U(0x9FB21C651E98DF25)
+
+
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """A gram's bucket: buckets are ranges of hashes, which don't depend on the order that makes anchors."""
+    return ((gram >> U(48)) * U(buckets) >> U(16)).astype(np.int64)
+
+
+def context_hash(body: np.ndarray, bits: np.ndarray, lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Of a context's bytes (as their polynomial), strings, and bytes before and from its anchor on."""
+    return hashing.mix(hashing.mix(body) + bits.astype(np.uint64) * hashing.STEP[8] + lead.astype(np.uint64) * hashing.STEP[9] + rest.astype(np.uint64) * hashing.STEP[10])
+
+
+def _split(low: np.ndarray) -> bytes:
+    """The sent bits of hashes, five bytes each."""
+    return np.ascontiguousarray(low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 class Texts:
     """Anchors and contexts of the texts of one chunk."""
 
@@ -57,36 +87,38 @@ class Texts:
         self.total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(hashing.BYTE_VALUE[data] * self.up[: len(data)], out=self.total[1:], dtype=np.uint64)
         n = max(0, len(data) - self.gram + 1)
-        self.hash = hashing.mix((self.total[self.gram : self.gram + n] - self.total[:n]) * self.down[:n])
+        # 32 bits order the grams; the few that become anchors get a full hash
+        self.order = (((self.total[self.gram : self.gram + n] - self.total[:n]) * _spread(len(self.down))[:n]) >> U(32)).astype(np.uint32)
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        return hashing.mix((self.total[at + self.gram] - self.total[at]) * self.down[at])
 
     def anchors(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Gram hashes of a row, the least of each string, and which grams are some string's anchor."""
+        """Order of a row's grams, the least of each string, and the places of the grams that are some string's anchor."""
         a, b = int(self.offsets[row]), int(self.offsets[row + 1])
         if b - a < self.length:
-            none = np.zeros(0, dtype=np.uint64)
-            return none, none, np.zeros(0, dtype=bool)
-        own = self.hash[a : b - self.gram + 1]
+            none = np.zeros(0, dtype=np.uint32)
+            return none, none, np.zeros(0, dtype=np.int64)
+        own = self.order[a : b - self.gram + 1]
         width = self.length - self.gram + 1
         least = _slide(own, width, np.minimum)
-        pad = np.zeros(width - 1, dtype=np.uint64)
-        return own, least, _slide(np.concatenate((pad, least, pad)), width, np.maximum) == own
+        pad = np.zeros(width - 1, dtype=np.uint32)
+        return own, least, np.flatnonzero(_slide(np.concatenate((pad, least, pad)), width, np.maximum) == own)
 
     def contexts(self, row: int, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the row's anchors whose low 48 bits are shared: place, first and last byte (exclusive) of the context, strings as bits, context hash, anchor."""
-        own, least, chosen = self.anchors(row)
-        at = np.flatnonzero(chosen)
-        at = at[np.isin(own[at] & U(LOW), shared)] if len(at) else at
+        """Of the row's anchors whose sent bits are among shared (sorted): place, first and last byte (exclusive) of the context, strings as bits, context hash, anchor."""
+        own, least, at = self.anchors(row)
         a, n = int(self.offsets[row]), int(self.offsets[row + 1] - self.offsets[row])
+        gram = self.hashes(a + at)
+        known = shared[np.minimum(np.searchsorted(shared, gram & U(LOW)), len(shared) - 1)] == gram & U(LOW)
+        at, gram = at[known], gram[known]
         width = self.length - self.gram + 1
-        pad = np.zeros(width - 1, dtype=np.uint64)
+        pad = np.zeros(width - 1, dtype=np.uint32)
         around = np.concatenate((pad, least, pad))
-        bits = np.zeros(len(at), dtype=np.uint64)
-        for i in range(width):
-            bits |= (around[at + i] == own[at]).astype(np.uint64) << U(i)
+        bits = (around[at[:, None] + np.arange(width)] == own[at][:, None]) @ (1 << np.arange(width))
         start, stop = np.maximum(at - (width - 1), 0), np.minimum(at + self.length, n)
         body = (self.total[a + stop] - self.total[a + start]) * self.down[a + start]
-        mark = hashing.mix(hashing.mix(body) + bits * hashing.STEP[8] + (at - start).astype(np.uint64) * hashing.STEP[9] + (stop - at).astype(np.uint64) * hashing.STEP[10])
-        return at, start, stop, bits, mark, own[at]
+        return at, start, stop, bits, context_hash(body, bits, at - start, stop - at), gram
 
 
 # anchors that more than one document holds
@@ -95,50 +127,46 @@ class Texts:
 def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """bucket, shared, pack of (key, text): a pack holds gram hashes and keys; shared ones are known to be in two documents."""
     grams: list[np.ndarray] = []
-    rows: list[int] = []
     keys: list[int] = []
     held = 0
 
-    def emit(of: np.ndarray, own: np.ndarray, who: np.ndarray, shared: bool):
-        order = np.argsort(of, kind="stable")
-        of, own, who = of[order], own[order], who[order]
+    def emit(own: np.ndarray, who: np.ndarray, names: np.ndarray, shared: bool):
+        """Packs of sorted grams, whose documents are numbers of names or -1."""
+        of = bucket_of(own, buckets)
         cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
-        names, packs = [], []
+        packs = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            table, at = np.unique(who[a:b], return_inverse=True)
-            names.append(int(of[a]))
-            low = own[a:b] & U(LOW)
-            at = at.astype(np.uint16 if len(table) < 1 << 16 else np.uint32)
-            packs.append(np.array([b - a, len(table)], dtype=np.int64).tobytes() + table.astype(np.int64).tobytes() + (low & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + at.tobytes() + (low >> U(32)).astype(np.uint16).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([shared] * len(names)), pa.array(packs, pa.binary())], names=["bucket", "shared", "pack"])
+            used = np.zeros(len(names) + 1, dtype=bool)
+            used[who[a:b]] = True  # -1 is the last
+            table = np.append(names, SEVERAL)[used]
+            at = (np.cumsum(used) - 1)[who[a:b]].astype(np.uint16 if len(table) < 1 << 16 else np.uint32)
+            packs.append(np.array([b - a, len(table)], dtype=np.int64).tobytes() + table.tobytes() + at.tobytes() + _split(own[a:b] & U(LOW)))
+        return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int32)), pa.array([shared] * len(packs)), pa.array(packs, pa.binary())], names=["bucket", "shared", "pack"])
 
     def flush():
         nonlocal held
-        if not grams:
+        if not held:
             return
-        own, who = np.concatenate(grams), np.repeat(np.array(keys, dtype=np.int64), rows)
-        grams.clear(), rows.clear(), keys.clear()
+        own, who = np.concatenate(grams), np.repeat(np.arange(len(keys)), [len(x) for x in grams])
+        names = np.array(keys, dtype=np.int64)
+        grams.clear(), keys.clear()
         held = 0
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own)
         own, who = own[order], who[order]
         cuts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        size = np.diff(np.append(cuts, len(own)))
-        several = np.minimum.reduceat(who, cuts) != np.maximum.reduceat(who, cuts)
-        of = ((own >> U(48)) * U(buckets) >> U(16)).astype(np.int64)
+        several = np.minimum.reduceat(names[who], cuts) != np.maximum.reduceat(names[who], cuts)
         # one row for each gram; that of a gram of several documents has no key
-        yield emit(of[cuts], own[cuts], np.where(several, -(2**63), who[cuts]), False)
-        known = np.repeat(several, size)
+        yield emit(own[cuts], np.where(several, -1, who[cuts]), names, False)
+        known = np.repeat(several, np.diff(np.append(cuts, len(own))))
         if known.any():
-            yield emit(of[known], own[known], who[known], True)
+            yield emit(own[known], who[known], names, True)
 
     for batch in batches:
         for a, b, data, offsets in hashing.chunks(batch.column(1)):
             texts = Texts(data, offsets, length)
             for row, key in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
-                own, _, chosen = texts.anchors(row)
-                own = np.unique(own[chosen])
+                own = texts.hashes(int(offsets[row]) + texts.anchors(row)[2])
                 grams.append(own)
-                rows.append(len(own))
                 keys.append(key)
                 held += len(own)
             if held >= PACK:
@@ -147,13 +175,11 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Ite
 
 
 def _unpack(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, k = np.frombuffer(pack, dtype=np.int64, count=2)
+    n, k = np.frombuffer(pack, dtype=np.int64, count=2).tolist()
     table = np.frombuffer(pack, dtype=np.int64, count=k, offset=16)
-    low = np.frombuffer(pack, dtype=np.uint32, count=n, offset=16 + 8 * k)
     kind = np.dtype(np.uint16 if k < 1 << 16 else np.uint32)
-    at = np.frombuffer(pack, dtype=kind, count=n, offset=16 + 8 * k + 4 * n)
-    high = np.frombuffer(pack, dtype=np.uint16, count=n, offset=16 + 8 * k + (4 + kind.itemsize) * n)
-    return low.astype(np.uint64) | high.astype(np.uint64) << U(32), table[at]
+    at = np.frombuffer(pack, dtype=kind, count=n, offset=16 + 8 * k)
+    return _whole(pack[16 + 8 * k + kind.itemsize * n :]), table[at]
 
 
 def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +195,7 @@ def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(low, kind="stable")
         low, who = low[order], who[order]
         cuts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        twice = np.repeat(np.diff(np.append(cuts, len(low))) > 1, np.diff(np.append(cuts, len(low)))) & (who != -(2**63))
+        twice = np.repeat(np.diff(np.append(cuts, len(low))) > 1, np.diff(np.append(cuts, len(low)))) & (who != SEVERAL)
         known = [_unpack(p) for shared, p in own if shared]
         low = np.concatenate([low[twice], *[x for x, _ in known]])
         who = np.concatenate([who[twice], *[x for _, x in known]])
@@ -178,34 +204,39 @@ def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(who, kind="stable")
         low, who = low[order], who[order]
         cuts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1], [True])))
-        yield pa.RecordBatch.from_arrays([pa.array(who[cuts[:-1]]), pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["key", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array(who[cuts[:-1]]), pa.array([_split(low[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["key", "grams"])
 
 
 # contexts and their strings
 
 #: A context on its way to its anchor's partition, and what comes back: strings to remove as bits.
-CONTEXT = "bucket int, gram long, mark long, key long, id binary, lead int, bits long, body binary"
-FOUND = "key long, id binary, mark long, bits long"
+CONTEXT = "bucket int, mark long, key long, lead int, bits int, body binary"
+FOUND = "key long, mark long, bits int"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of (key, id, text, grams): bucket >= 0 to be judged, -1 where a lesser key of this chunk has the same context."""
+    """Contexts of (key, id, text, grams): bucket >= 0 to be judged, -1 where a lesser key of this chunk has the same context.
+
+    A context to be judged goes without its hash, which follows from its bytes; a settled one with nothing else.
+    """
     for batch in batches:
         for a, b, data, offsets in hashing.chunks(batch.column(2)):
             texts, found = Texts(data, offsets, length), []
             keys = np.array(batch.column(0).slice(a, b - a).to_pylist(), dtype=np.int64)
             for row in range(b - a):
-                shared = np.frombuffer(b"".join(batch.column(3)[a + row].as_py()), dtype=np.uint64)
+                shared = np.sort(_whole(b"".join(batch.column(3)[a + row].as_py())))
                 at, start, stop, bits, mark, own = texts.contexts(row, shared)
                 if len(at):
-                    _, first = np.unique(mark, return_index=True)
                     base = int(offsets[row])
-                    found.append((np.full(len(first), row), mark[first], own[first], bits[first], at[first] - start[first], base + start[first], base + stop[first]))
+                    found.append((np.full(len(at), row), mark, own, bits, at - start, base + start, base + stop))
             if not found:
                 continue
             row, mark, own, bits, lead, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((keys[row], mark))
-            sorted_mark = mark[order]
+            again = np.concatenate(([False], (mark[order][1:] == mark[order][:-1]) & (keys[row][order][1:] == keys[row][order][:-1])))
+            row, mark, own, bits, lead, start, stop = (x[order[~again]] for x in (row, mark, own, bits, lead, start, stop))
+            order = np.arange(len(mark))
+            sorted_mark = mark
             cuts = np.flatnonzero(np.concatenate(([True], sorted_mark[1:] != sorted_mark[:-1])))
             least = np.empty(len(mark), dtype=np.int64)
             least[order] = np.repeat(keys[row][order][cuts], np.diff(np.append(cuts, len(mark))))
@@ -214,10 +245,10 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int)
             ends = np.concatenate(([0], np.cumsum(size)))
             body = data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
             bodies = pa.BinaryArray.from_buffers(pa.binary(), len(mark), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body.tobytes())])
-            bucket = np.where(settled, -1, ((own >> U(48)) * U(buckets) >> U(16)).astype(np.int64))
+            bucket = np.where(settled, -1, bucket_of(own, buckets))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.astype(np.int32)), pa.array((own & U(LOW)).astype(np.int64)), pa.array(mark.view(np.int64)), pa.array(keys[row]), batch.column(1).slice(a, b - a).take(pa.array(row)), pa.array(lead.astype(np.int32)), pa.array(bits.astype(np.int64)), bodies],
-                names=["bucket", "gram", "mark", "key", "id", "lead", "bits", "body"],
+                [pa.array(bucket.astype(np.int32)), pa.array(np.where(settled, mark.view(np.int64), 0)), pa.array(keys[row]), pa.array(lead.astype(np.int32)), pa.array(bits.astype(np.int32)), bodies],
+                names=["bucket", "mark", "key", "lead", "bits", "body"],
             )
 
 
@@ -233,7 +264,7 @@ def suffix_array(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
     key = np.zeros(n, dtype=np.uint64)
     for j in range(7):
         key = key << U(9) | np.where(place + j < stop, symbol[j : n + j], U(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     rank = np.empty(n, dtype=np.int64)
@@ -250,7 +281,7 @@ def suffix_array(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
         after = at + depth
         follow = np.where(after < stop[at], rank[np.minimum(after, n - 1)] + n, piece[at])
         own = rank[at]
-        sub = np.lexsort((follow, own))
+        sub = np.argsort((own << 32) | follow)
         order[np.flatnonzero(loose)] = at[sub]
         own, follow = own[sub], follow[sub]
         split = np.concatenate(([True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])))
@@ -304,7 +335,9 @@ def distinct_strings(bodies: list[bytes], lead: np.ndarray, bits: np.ndarray, ke
     width = length - gram_of(length) + 1
     context, bit = np.nonzero(bits[:, None] >> np.arange(width) & 1)
     place = starts[context] + lead[context] - (width - 1) + bit
-    group = np.cumsum(shared < length)[np.argsort(order, kind="stable")][place] if len(place) else np.zeros(0, dtype=np.int64)
+    rank = np.empty(len(data), dtype=np.int64)
+    rank[order] = np.cumsum(shared < length)
+    group = rank[place]
     groups, first, number = np.unique(group, return_index=True, return_inverse=True)
     least = np.full(len(groups), np.iinfo(np.int64).max)
     np.minimum.at(least, number, keys[context])
@@ -326,26 +359,57 @@ def _runs(gram: np.ndarray, size: np.ndarray) -> Iterator[list[np.ndarray]]:
         i = j
 
 
+def _polynomials(body: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes and sizes of some contexts put one after another, running sums of their bytes' values, and the powers that take a place out."""
+    data = np.frombuffer(b"".join(body.to_pylist()), dtype=np.uint8)
+    size = pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64)
+    up, down = hashing.powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(hashing.BYTE_VALUE[data] * up[: len(data)], out=total[1:], dtype=np.uint64)
+    return np.cumsum(size) - size, size, total, down
+
+
+def _string_hashes(body: pa.Array, lead: np.ndarray, bits: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all strings of some contexts, and the contexts that they are in."""
+    start, _, total, down = _polynomials(body)
+    width = length - gram_of(length) + 1
+    context, bit = np.nonzero(bits[:, None] >> np.arange(width) & 1)
+    place = start[context] + lead[context] - (width - 1) + bit
+    return hashing.mix((total[place + length] - total[place]) * down[place]), context
+
+
+def _named(batch: pa.RecordBatch, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and context hash of each row."""
+    start, size, total, down = _polynomials(batch.column(5))
+    lead, bits = batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy()
+    at = start + lead
+    body = (total[start + size] - total[start]) * down[start]
+    return hashing.mix((total[at + gram] - total[at]) * down[at]), context_hash(body, bits, lead, size - lead)
+
+
 def _judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Strings to remove of the contexts of a partition, in which all contexts of an anchor are."""
-    parts, names = [], ["key", "id", "mark", "bits"]
+    parts, named, names = [], [], ["key", "mark", "bits"]
     for batch in batches:
         live = batch.column(0).to_numpy() >= 0
         if not live.all():
             gone = batch.filter(pa.array(~live))
-            yield pa.RecordBatch.from_arrays([gone.column(3), gone.column(4), gone.column(2), gone.column(6)], names=names)
+            yield pa.RecordBatch.from_arrays([gone.column(2), gone.column(1), gone.column(4)], names=names)
             batch = batch.filter(pa.array(live))
-        parts.append(batch)
-    if not sum(x.num_rows for x in parts):
+        if batch.num_rows:
+            parts.append(batch.select([2, 3, 4, 5]))
+            named.append(_named(batch, gram_of(length)))
+    if not parts:
         return
     table = pa.Table.from_batches(parts)
-    gram, mark, key, lead, bit = (table.column(c).to_numpy() for c in ("gram", "mark", "key", "lead", "bits"))
+    gram, mark = (np.concatenate(x) for x in zip(*named, strict=True))
+    key, lead, bit = (table.column(c).to_numpy() for c in ("key", "lead", "bits"))
     order = np.lexsort((key, mark, gram))
     new = np.concatenate(([True], (mark[order][1:] != mark[order][:-1]) | (gram[order][1:] != gram[order][:-1])))
     lone = order[new]
     kind = np.cumsum(new) - 1
     least = key[lone][kind]
-    remove = np.zeros(len(mark), dtype=np.int64)
+    remove = np.zeros(len(mark), dtype=np.int32)
     remove[order] = np.where(key[order] > least, bit[order], 0)
     # the rest: one context of each kind, of the anchors that have several
     grams = gram[lone]
@@ -353,10 +417,18 @@ def _judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     several[1:] |= grams[1:] == grams[:-1]
     several[:-1] |= grams[1:] == grams[:-1]
     rest = np.flatnonzero(several)
-    more = np.zeros(len(lone), dtype=np.int64)
+    more = np.zeros(len(lone), dtype=np.int32)
     body = table.column("body").take(pa.array(lone[rest]))
     sizes = pc.binary_length(body).to_numpy().astype(np.int64)
     for run in _runs(grams[rest], sizes):
+        # a context whose strings all have hashes of their own needs no suffix array
+        marks, owners = zip(*[_string_hashes(body.take(pa.array(at)), lead[lone[rest[at]]], bit[lone[rest[at]]], length) for at in run], strict=True)
+        every = np.sort(np.concatenate(marks))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        run = [at[np.unique(context[np.isin(mark_of, twice)])] for at, mark_of, context in zip(run, marks, owners, strict=True)]
+        run = [at for at in run if len(at)]
+        if not run:
+            continue
         strings_of = lambda at: distinct_strings(body.take(pa.array(at)).to_pylist(), lead[lone[rest[at]]], bit[lone[rest[at]]], key[lone[rest[at]]], length)
         found = strings_of(run[0])
         known, owner = found[0], found[1]
@@ -370,12 +442,13 @@ def _judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         for at in run:
             strings, _, context, place, number = found if len(run) == 1 else strings_of(at)
             lesser = owner[np.searchsorted(known, strings)][number] < key[lone[rest[at]]][context]
-            np.bitwise_or.at(more, rest[at[context[lesser]]], np.int64(1) << place[lesser].astype(np.int64))
+            np.bitwise_or.at(more, rest[at[context[lesser]]], np.int32(1) << place[lesser].astype(np.int32))
     # rows of the least key itself, which may repeat, lose what their kind loses
     remove[order] |= np.where(key[order] == least, more[kind], 0)
     hit = np.flatnonzero(remove)
-    kept = table.select(["key", "id", "mark"]).take(pa.array(hit)).append_column("bits", pa.array(remove[hit]))
-    yield from kept.to_batches(max_chunksize=50_000)
+    for a in range(0, len(hit), 50_000):
+        at = hit[a : a + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(mark[at].view(np.int64)), pa.array(remove[at])], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -386,7 +459,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             texts = Texts(data, offsets, length)
             keys, ids, spans, digests = [], [], [], []
             for row in range(b - a):
-                shared = np.frombuffer(b"".join(batch.column(3)[a + row].as_py()), dtype=np.uint64)
+                shared = np.sort(_whole(b"".join(batch.column(3)[a + row].as_py())))
                 at, _, _, _, mark, _ = texts.contexts(row, shared)
                 known = np.array(batch.column(4)[a + row].as_py(), dtype=np.int64).view(np.uint64)
                 bits = np.array(batch.column(5)[a + row].as_py(), dtype=np.int64)
@@ -417,29 +490,30 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     A byte goes if a string of so many bytes over it also starts in a row of a lesser key; spans are
     maximal runs. Null texts are empty. Null keys are greater than all others; rows of one key never
     remove each other, and keep spans of their own where their texts differ. Other columns are
-    dropped, so none can clash. length is 8 to 100.
+    dropped, so none can clash. length is 8 to 60.
     """
     need(df, key, text)
-    if not 8 <= length <= 100:
-        raise ValueError("length is 8 to 100")
+    if not 8 <= length <= 60:  # a context's strings are bits of an int
+        raise ValueError("length is 8 to 60")
     p = partitions(df.sparkSession)
+    buckets = min(4 * p, 1 << 16)
     src = df.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = src.withColumn("id", F.unhex(F.md5("text")))
     base = written(named.select("key", "id", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("whole")))
     earliest = base.groupBy("id").agg(F.min("key").alias("least"))
     base = base.join(earliest, "id")
 
-    packs = src.mapInArrow(lambda x: _packed(x, length, p), "bucket int, shared boolean, pack binary")
+    packs = src.mapInArrow(lambda x: _packed(x, length, buckets), "bucket int, shared boolean, pack binary")
     shared = packs.repartition(p, "bucket").mapInArrow(_held_twice, "key long, grams binary").groupBy("key").agg(F.collect_list("grams").alias("grams"))
     firsts = base.where("key = least").select("key", "id").distinct()
     wanted = shared.join(firsts, "key")
     held = written(named.join(wanted, ["key", "id"]).select("key", "id", "text", "grams"))
 
-    contexts = held.mapInArrow(lambda x: _context_rows(x, length, p), CONTEXT)
-    spread = contexts.repartition(p, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod("mark", F.lit(p)).cast("int")))
+    contexts = held.mapInArrow(lambda x: _context_rows(x, length, buckets), CONTEXT)
+    spread = contexts.repartition(p, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod("mark", F.lit(buckets)).cast("int")))
     found = spread.mapInArrow(lambda x: _judged(x, length), FOUND)
-    told = found.groupBy("key", "id").agg(F.collect_list("mark").alias("marks"), F.collect_list("bits").alias("bits"))
-    cut = held.join(told, ["key", "id"]).select("key", "id", "text", "grams", "marks", "bits").mapInArrow(lambda x: _cut(x, length), "key long, id binary, spans array<struct<start:int,end:int>>, kept_sha256 string")
+    told = found.groupBy("key").agg(F.collect_list("mark").alias("marks"), F.collect_list("bits").alias("bits"))
+    cut = held.join(told, "key").select("key", "id", "text", "grams", "marks", "bits").mapInArrow(lambda x: _cut(x, length), "key long, id binary, spans array<struct<start:int,end:int>>, kept_sha256 string")
     cut = cut.groupBy("key", "id").agg(F.first("spans").alias("spans"), F.first("kept_sha256").alias("kept_sha256"))
 
     full = base.join(cut, ["key", "id"], "left")
