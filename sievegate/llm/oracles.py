@@ -97,3 +97,16 @@ select doc_id, size, text_crc32, 'key' as law, shard,
   (row_number() over (partition by shard order by lane, doc_id, text_crc32) - 1)::bigint as slot, grown_shard
 from sized
 """
+
+SQL["op10_suffix_dedup"] = """
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as hx, octet_length(encode(coalesce(text, '')))::bigint as n_bytes from documents
+), w as (select doc_id, i, hx[2 * i + 1 : 2 * i + 100] as s from b, unnest(range(greatest(n_bytes - 49, 0))) r(i)
+), m as (select s, min(doc_id) as first from w group by s having min(doc_id) < max(doc_id)
+), h as (select w.doc_id, w.i, lag(w.i) over (partition by w.doc_id order by w.i) as p from w join m using (s) where first < w.doc_id
+), g as (select doc_id, i, sum((p is null or i > p + 50)::int) over (partition by doc_id order by i) as span, least(50, coalesce(i - p, 50)) as fresh from h
+), spans as (select doc_id, span, min(i) as a, max(i) + 50 as z, sum(fresh) as fresh from g group by doc_id, span
+), cut as (select doc_id, span, a, z, fresh, coalesce(lag(z) over (partition by doc_id order by a), 0) as after from spans
+), kept as (select doc_id, sum(fresh)::bigint as n_removed, count(*) as n_spans, string_agg(hx[2 * after + 1 : 2 * a], '' order by a) as head, max(z) as z from cut join b using (doc_id) group by doc_id)
+select doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head || hx[2 * z + 1 : 2 * n_bytes], hx))) as kept_sha256
+from b left join kept using (doc_id)
+"""
