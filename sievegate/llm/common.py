@@ -28,6 +28,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str) -> DataFrame:
+    """As written, in as many buckets of key as there are shuffle partitions, so that later joins on key leave its rows in place."""
+    spark = df.sparkSession
+    name = f"sievegate_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # of the catalogue only: the table is external
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

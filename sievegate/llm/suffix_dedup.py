@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import need, partitions, written
+from .common import need, partitions, written, written_by
 
 U = np.uint64
 #: Bits of a gram's hash that are sent, beside its bucket.
@@ -507,7 +507,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     shared = packs.repartition(p, "bucket").mapInArrow(_held_twice, "key long, grams binary").groupBy("key").agg(F.collect_list("grams").alias("grams"))
     firsts = base.where("key = least").select("key", "id").distinct()
     wanted = shared.join(firsts, "key")
-    held = written(named.join(wanted, ["key", "id"]).select("key", "id", "text", "grams"))
+    held = written_by(named.join(wanted.withColumnRenamed("id", "own"), "key").where("id = own").select("key", "id", "text", "grams"), "key")
 
     contexts = held.mapInArrow(lambda x: _context_rows(x, length, buckets), CONTEXT)
     spread = contexts.repartition(p, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod("mark", F.lit(buckets)).cast("int")))
