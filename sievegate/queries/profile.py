@@ -39,17 +39,17 @@ def field_stats_orders(spark, sf_dir):
     return stats.field_stats(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query(
-    "vocab_stats",
-    f"""
+_VOCAB = f"""
 with d as (select {TOKENS} as w from documents), v as (select word, count(*) as c from (select unnest(w) as word from d) group by word
 ), l as (select len(w)::bigint as n, row_number() over (order by len(w)) - 1 as i, count(*) over () as t from d)
 select (select sum(c)::bigint from v) as total_tokens, (select count(*) from v) as unique_tokens, (select count(*) from v where c = 1) as hapax_legomena,
   round((select count(*) / sum(c) from v), 4) as type_token_ratio, round((select count(*) filter (where c = 1) / count(*) from v), 4) as hapax_ratio,
   (select round(avg(n), 1) from l) as length_mean, (select n from l where i = t // 2) as length_median,
   (select n from l where i = case when t >= 20 then floor(t * 0.95)::bigint else t - 1 end) as length_p95, (select min(n) from l) as length_min, (select max(n) from l) as length_max
-""",
-)
+"""
+
+
+@query("vocab_stats", _VOCAB)
 def vocab_stats(spark, sf_dir):
     return stats.vocab_stats(documents(spark, sf_dir))
 
@@ -217,7 +217,16 @@ def quality_score(spark, sf_dir):
     return quality.penalty_score(quality.issues(documents(spark, sf_dir), "doc_id"))
 
 
-@query("learned_score")
+def _learned_sql() -> str:
+    share = lambda c: f"coalesce((select max(fraction) from i where category = '{c}'), 0)"
+    x = [y for c in quality.CATEGORIES for y in (f"({share(c)} > 0)::int", share(c))]
+    x += [f"(select count(*) from i where severity = '{s}')" for s in quality.SEVERITY] + ["(select count(*) from i)", "type_token_ratio", "hapax_ratio", "ln(1 + total_tokens)"]
+    x += ["case when length_mean > 0 and length_max > length_min then (length_max - length_min) / 4.0 / length_mean else 0 end", "ln(1 + (select count(*) from documents))", "1.0"]
+    z = " + ".join(f"({w}) * {v}" for w, v in zip(quality.WEIGHTS, x, strict=False))
+    return f"{_ISSUES} select floor(100 / (1 + exp(-({z}))))::bigint as learned_score from ({_VOCAB})"
+
+
+@query("learned_score", _learned_sql())
 def learned_score(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return quality.learned_score(quality.issues(docs, "doc_id"), stats.vocab_stats(docs), docs.count())
