@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import need
 
 #: Pieces remembered by one Python worker; the table is emptied when it is full.
-PIECES = 300_000
+PIECES = 120_000
 
 
 def byte_characters() -> dict[int, str]:

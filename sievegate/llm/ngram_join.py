@@ -30,8 +30,8 @@ from . import graph, hashing
 from .common import need, partitions, written
 
 U = np.uint64
-#: Groups that make the tree's points, and the most that make a set's fine point, which has one for every four shingles.
-GROUPS, FINEST = 64, 1 << 14
+#: Groups that make the tree's points, and the least and most that make a set's fine point, which has one for every four shingles.
+GROUPS, COARSEST, FINEST = 256, 64, 1 << 14
 #: Points in one task's tile of a block, and in a leaf.
 TILE, LEAF = 2048, 32
 
@@ -86,7 +86,7 @@ def counts(own: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 
 
 def fine_point(own: np.ndarray) -> np.ndarray:
-    return counts(own, min(FINEST, max(GROUPS, 1 << (len(own) // 4).bit_length()))).astype(np.uint16)
+    return counts(own, min(FINEST, max(COARSEST, 1 << (len(own) // 4).bit_length()))).astype(np.uint16)
 
 
 def may_link(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
@@ -159,23 +159,22 @@ def _sized(df: DataFrame, k: int) -> DataFrame:
 
 
 def _dealt(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """sid, n, block for each set; a set that a task meets again is dealt once."""
+    """sid, block for each set; a set that a task meets again is dealt once."""
 
     def run(batches):
         seen: set[int] = set()
         for _, sets in _sets(batches, k):
-            sids, sizes, blocks = [], [], []
+            sids, blocks = [], []
             for own in sets:
                 if len(own) and (sid := set_id(own)) not in seen:
                     seen.add(sid)
                     sids.append(sid)
-                    sizes.append(len(own))
                     blocks.append(block_keys(own, num, den).astype(np.int64))
             if sids:
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in blocks]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(blocks)))], names=["sid", "n", "blocks"])
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(blocks)))], names=["sid", "blocks"])
 
-    return df.mapInArrow(run, "sid long, n int, blocks array<long>").select("sid", "n", F.explode("blocks").alias("block"))
+    return df.mapInArrow(run, "sid long, blocks array<long>").select("sid", F.explode("blocks").alias("block"))
 
 
 def _loaded(df: DataFrame, k: int) -> DataFrame:
@@ -186,7 +185,7 @@ def _loaded(df: DataFrame, k: int) -> DataFrame:
         for _, sets in _sets(batches, k):
             new = {sid: x for x in sets if (sid := set_id(x)) not in seen}
             seen.update(new)
-            made = [[x.tobytes() for x in new.values()], [fine_point(x).tobytes() for x in new.values()], [counts(x).astype(np.int32).tobytes() for x in new.values()]]
+            made = [[x.tobytes() for x in new.values()], [fine_point(x).tobytes() for x in new.values()], [counts(x).astype(np.uint16).tobytes() for x in new.values()]]
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), *[pa.array(x, pa.binary()) for x in made]], names=["sid", "own", "fine", "point"])
 
     return df.mapInArrow(run, "sid long, own binary, fine binary, point binary")
@@ -259,7 +258,7 @@ def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
                     at, block = key, []
                 tile, sid, label = (batch.column(c)[r].as_py() for c in (3, 4, 5))
-                block.append((tile, sid, label, np.frombuffer(batch.column(6)[r].as_buffer(), dtype=np.int32)))
+                block.append((tile, sid, label, np.frombuffer(batch.column(6)[r].as_buffer(), dtype=np.uint16).astype(np.int32)))
         for found in pairs(block) if len(block) > 1 else ():
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
@@ -284,8 +283,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
 
     block = Window.partitionBy("block")
     dealt = _dealt(src, words, num, den).select("*", F.min("sid").over(block).alias("x"), F.max("sid").over(block).alias("y"), F.lag("sid").over(block.orderBy("sid")).alias("before"))
-    shared = written(dealt.where("x <> y and not (before <=> sid)").select("block", "sid", "n"))
-    degree = shared.groupBy("sid").agg(F.count("*").alias("degree"))
+    shared = written(dealt.where("x <> y and not (before <=> sid)").select("block", "sid"))
+    degree = shared.groupBy("sid").agg(F.count("*").alias("degree")).join(sized.groupBy("sid").agg(F.max("n").alias("n")), "sid")
     met = shared.join(degree, "sid").withColumn("pivot", F.max(F.struct("degree", "sid", "n")).over(block))
     near = f"least(n, pivot.n) * {den} >= greatest(n, pivot.n) * {num}"
     stars = written(met.where("sid <> pivot.sid").select(F.col("pivot.sid").alias("pivot"), "sid", "n", F.expr(near).alias("near")).distinct())
