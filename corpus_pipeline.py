@@ -1,7 +1,7 @@
 """A corpus from raw documents to tokens: five stages over the columns of documents.
 
 Each stage works on all that the one before kept. Extra columns pass through the first four stages.
-Stages that filter judge a document by its doc_id; rows without one are judged as said at each stage.
+Stages that filter judge rows; a doc_id may be missing or repeated.
 """
 
 from __future__ import annotations
@@ -43,10 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 0.8 of the word 5-shingles of every benchmark item; rows without a doc_id are judged as one."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    held = found.select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("__held")), "left_anti").select(*docs.columns)
+    """Rows that hold less than 0.8 of the word 5-shingles of every benchmark item. Each is judged by its own text, whatever its doc_id."""
+    rows = docs.withColumn("__text", F.md5("text"))
+    found = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__text")
+    held = found.select(F.col("__text").alias("__held")).distinct()
+    return rows.join(held, F.col("__text") == F.col("__held"), "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

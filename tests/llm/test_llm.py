@@ -604,3 +604,15 @@ def test_pipeline_of_nothing(spark, sf_dir, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_decontamination_judges_each_row(spark, sf_dir):
+    item = rows_of(sf_dir, "benchmark", "text")[0][0]
+    rows = [(None, prose(40)), (None, "before " + item + " after"), (None, prose(30)), (7, prose(20)), (7, item), (8, item), (9, None), (None, None), (10, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], ROWS)
+    got = corpus_pipeline.decontamination(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([x for x in rows if item not in (x[1] or "")], key=repr)
