@@ -29,17 +29,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates: word 5-shingles, Jaccard of 0.8 or more.
+    """The least row of each group of near duplicates: word 5-shingles, Jaccard of 0.8 or more.
 
-    Rows that repeat a doc_id are one document, of which the row of the smallest text hash stays. Rows
-    without a doc_id belong to no group and stay.
+    Rows are ordered by doc_id, those without one last, then by a digest of the text; each is compared by
+    its own text. Equal rows of one doc_id are one row. Rows with neither a doc_id nor a word are in no
+    group and stay.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    groups = ngram_join.near_groups(named, words=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rows = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = named.join(first, "doc_id", "left_semi").withColumn("__row", F.row_number().over(rows)).where("__row = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("text"))
+    rows = docs.where(~bare).withColumn("__row", row)
+    groups = ngram_join.near_groups(rows, key="__row", words=5, num=80, den=100)
+    first = groups.where("__row = component_id").select("__row").distinct()
+    same = Window.partitionBy("__row").orderBy("__row")
+    kept = rows.join(first, "__row", "left_semi").withColumn("__at", F.row_number().over(same)).where("__at = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(bare).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -616,3 +616,14 @@ def test_decontamination_judges_each_row(spark, sf_dir):
     got = corpus_pipeline.decontamination(spark, docs, sf_dir)
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([x for x in rows if item not in (x[1] or "")], key=repr)
+
+
+def test_near_duplicates_of_shared_and_null_ids(spark, sf_dir):
+    a, b, c, d, e = (prose(n) for n in (60, 70, 80, 90, 50))
+    rows = [(1, a), (5, b), (5, a + " tail"), (5, c), (5, c), (6, b + " tail"), (None, d), (None, d), (None, d + " tail"), (None, c + " tail"), (None, e), (None, ""), (None, ""), (None, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], ROWS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    of_d = [x for x in got if x[0] is None and (x[1] or "").startswith(d)]
+    assert len(of_d) == 1
+    want = [(1, a), (5, b), (5, c), (None, e), (None, ""), (None, ""), (None, None), (8, "")]
+    assert sorted([x for x in got if x not in of_d], key=repr) == sorted(want, key=repr)
