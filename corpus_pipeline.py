@@ -19,13 +19,17 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter, null texts and those unlike every language go.
+    """Documents with a letter that are not unlike every language, as far as their length lets that be told.
 
-    Learned from the rows that have a language, all of them; where lang is null the found one is filled in.
+    Languages and the likeness a document must reach for its length are learned from all rows that have a
+    language; where lang is null the found one is filled in. Where nothing is learned only texts without a
+    letter go.
     """
-    told = langid.predict(docs, langid.train(docs), lang="__lang", score="__like")
-    kept = told.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__like") > 0))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    profiles = langid.train(docs)
+    if not profiles.names:
+        return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
+    told = langid.predict(docs, profiles, lang="__lang", score="__like", floor=langid.floors(docs, profiles))
+    return told.where(F.col("__lang") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

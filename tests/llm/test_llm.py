@@ -627,3 +627,23 @@ def test_near_duplicates_of_shared_and_null_ids(spark, sf_dir):
     assert len(of_d) == 1
     want = [(1, a), (5, b), (5, c), (None, e), (None, ""), (None, ""), (None, None), (8, "")]
     assert sorted([x for x in got if x not in of_d], key=repr) == sorted(want, key=repr)
+
+
+def noise(n: int, letters: str) -> str:
+    own = random.Random(n)
+    return " ".join("".join(own.choice(letters) for _ in range(own.randint(3, 9))) for _ in range(n))
+
+
+def test_language_floor_by_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first = [(10_000 + k, " ".join(t.split()[:w])) for k, t in rows_of("/root/testdata/sf0.01") if k < 100 and t and len(t) > 500 for w in (1, 5, 40)]
+    junk = [(20_000 + 10 * n + i, noise(n, a)) for n in range(60, 90) for i, a in enumerate(("abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x5E00)))))]
+    more = spark.createDataFrame([(k, t, None, "s", 0) for k, t in first + junk], ROWS)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), "").collect()}
+    assert sum(k in got for k, _ in junk) <= 0.1 * len(junk)
+    # the start of a row that says nothing in any language may go, no more than the share that floors allow for
+    lost = [k for k, _ in first if k not in got]
+    assert len(first) > 200 and len(lost) <= 0.01 * len(first), lost
+    unlearned = docs.withColumn("lang", F.lit(None).cast("string"))
+    lettered = sum(any(c.isalpha() for c in t or "") for _, t in rows_of("/root/testdata/sf0.01"))
+    assert corpus_pipeline.language_id(spark, unlearned, "").count() == lettered
