@@ -647,3 +647,13 @@ def test_language_floor_by_length(spark):
     unlearned = docs.withColumn("lang", F.lit(None).cast("string"))
     lettered = sum(any(c.isalpha() for c in t or "") for _, t in rows_of("/root/testdata/sf0.01"))
     assert corpus_pipeline.language_id(spark, unlearned, "").count() == lettered
+
+
+def test_language_of_few_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = rows_of("/root/testdata/sf0.1", columns="doc_id, text, lang")
+    profiles = langid.train(docs.where(quality.fold(F.col("doc_id"), 4) != 2))
+    held = [(t, lang) for k, t, lang in rows if t and lang and zlib.crc32(str(k).encode()) % 4 == 2 and len(t) > 100]
+    right = [np.mean([p == lang for (p, _), (_, lang) in zip(profiles.predict([" ".join(t.split()[:w]) for t, _ in held]), held, strict=True)]) for w in (1, 2, 3)]
+    print(len(held), right)
+    assert right[0] >= 0.81 and right[1] >= 0.93 and right[2] >= 0.97
