@@ -40,13 +40,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     group and stay.
     """
     bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")
-    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("text"))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("text"))
     rows = docs.where(~bare).withColumn("__row", row)
     groups = ngram_join.near_groups(rows, key="__row", words=5, num=80, den=100)
-    first = groups.where("__row = component_id").select("__row").distinct()
+    # the texts are joined with the few keys that go or come more than once, so others needn't be moved
+    marks = groups.groupBy("__row").agg(F.max(F.col("__row") != F.col("component_id")).alias("__goes"), F.count("*").alias("__n")).where("__goes or __n > 1")
+    marks = written(marks.select("__row", "__goes"))
+    once = rows.join(marks.select("__row"), "__row", "left_anti")
     same = Window.partitionBy("__row").orderBy("__row")
-    kept = rows.join(first, "__row", "left_semi").withColumn("__at", F.row_number().over(same)).where("__at = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(bare).select(*docs.columns))
+    more = rows.join(marks.where("not __goes").select("__row"), "__row", "left_semi").withColumn("__at", F.row_number().over(same)).where("__at = 1")
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns)).unionByName(docs.where(bare).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

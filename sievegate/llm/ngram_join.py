@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import graph, hashing
 from .common import need, partitions, written
@@ -291,7 +292,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
 
     alone = shared.select("sid").distinct()
     wanted = alone.join(sized.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")), "sid").select("key")
-    named = _loaded(src.join(wanted, "key", "left_semi"), words)
+    if isinstance(df.schema[key].dataType, StructType):  # by a digest, a long; a set loaded twice does no harm
+        named = src.withColumn("h", F.xxhash64("key")).join(wanted.select(F.xxhash64("key").alias("h")), "h", "left_semi").drop("h")
+    else:
+        named = src.join(wanted, "key", "left_semi")
+    named = _loaded(named, words)
     nameless = _loaded(src.where("key is null"), words).join(alone, "sid", "left_semi").groupBy("sid").agg(F.first("own").alias("own"), F.first("fine").alias("fine"), F.first("point").alias("point"))
     sets = written(named.unionByName(nameless))
 
