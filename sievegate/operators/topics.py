@@ -1,8 +1,7 @@
-"""Topics of a dataset: cosine k-means over its most frequent terms' weights."""
+"""Topics of a dataset: cosine k-means over its terms' weights."""
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sievegate.operators.similarity import term_weights
 
-#: Terms that make a vector, at most.
-TERMS = 512
+#: Terms of the vocabulary, as many as term_weights takes by itself and the reference's vectorizer does.
+TERMS = 10_000
 
 
 def topic_count(n: int) -> int:
@@ -22,16 +21,16 @@ def topic_count(n: int) -> int:
 def assign(df: DataFrame, key: str, text: str = "text", seed: int = 42) -> DataFrame:
     """key, topic, weights (term to weight) of the rows that have one of the TERMS most frequent terms; no rows below five documents."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
     weights = term_weights(df, key, text, features=TERMS)
     rows = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
-    terms = sorted(r["term"] for r in weights.select("term").distinct().collect())  # TERMS at most
+    places = {r["term"]: i for i, r in enumerate(weights.select("term").distinct().orderBy("term").collect())}  # TERMS at most
     n = rows.count()
     if df.count() < 5 or n < 2:
         return rows.select(key, F.lit(0).alias("topic"), "weights").limit(0)
-    vocabulary = F.from_json(F.lit(json.dumps(terms)), "array<string>")
-    vectors = rows.withColumn("features", array_to_vector(F.transform(vocabulary, lambda t: F.coalesce(F.element_at("weights", t), F.lit(0.0)))))
+    sparse = F.udf(lambda own: Vectors.sparse(len(places), {places[t]: w for t, w in own.items()}), VectorUDT())
+    vectors = rows.withColumn("features", sparse("weights"))
     model = KMeans(k=topic_count(n), seed=seed, maxIter=50, distanceMeasure="cosine", predictionCol="topic").fit(vectors)
     return model.transform(vectors).select(key, "topic", "weights")
 

@@ -336,3 +336,13 @@ def test_topics(spark):
     assert sum(r["size"] for r in rows) == 24 and len(rows) == topics.topic_count(24) and all(1 <= len(r["terms"]) <= 5 for r in rows)
     assert 0 <= topics.diversity(found).first()[0] <= 1
     assert topics.assign(docs(spark, "a b"), "doc_id").count() == 0
+
+
+def test_topics_of_rare_terms(spark):
+    from sievegate.operators import topics
+
+    common = " ".join(f"common{i}" for i in range(600))
+    df = docs(spark, *[common if i % 2 else f"{common} more{i}" for i in range(12)], "seldom rarely hardly", "scarce")
+    found = topics.assign(df, "doc_id")
+    assert found.count() == df.count() == 14
+    assert found.where(F.map_contains_key("weights", F.lit("scarce"))).count() == 1
