@@ -26,7 +26,7 @@ from .common import need
 WIDTH, SYMBOLS = 2048, 64
 UNKNOWN = "und"
 #: Rows bundled at once, and their distinct trigrams per product.
-ROWS, PART = 64, 4096
+ROWS, PART = 64, 512
 #: Lengths judged are 2**0 to 2**(LENGTHS - 1) letters. A language's rows give a floor from ENOUGH on: MARGIN of the cosine that all but SHARE of them reach, counted in STEPS.
 LENGTHS, ENOUGH, SHARE, MARGIN, STEPS = 16, 100, 0.01, 0.7, 1000
 
@@ -152,7 +152,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
                 counts.setdefault(name, np.zeros(SYMBOLS**3, dtype=np.int64))[found] += count
         for name, own in counts.items():
             found = np.flatnonzero(own).astype(np.int32)
-            total = sum((own[found[a : a + 4096]] @ vectors(found[a : a + 4096]).astype(np.int64) for a in range(0, len(found), 4096)), np.zeros(WIDTH, dtype=np.int64))
+            total = sum((own[found[a : a + PART]] @ vectors(found[a : a + PART]).astype(np.int64) for a in range(0, len(found), PART)), np.zeros(WIDTH, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([name] * WIDTH), pa.array(range(WIDTH), pa.int32()), pa.array(total, pa.int64())], names=["lang", "at", "sum"])
 
     made = src.mapInArrow(run, "lang string, at int, sum long").groupBy("lang", "at").agg(F.sum("sum").alias("sum"))
