@@ -24,14 +24,14 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (its component's smallest node) for the nodes of links (a, b: long).
+    """node, root (its component's smallest node) for the nodes of links (a, b: of one orderable type).
 
     Minima are taken by an aggregate, so a node with very many neighbours is combined before the
     shuffle, and each round is written to the shared folder. Rounds grow with the logarithm of the
     longest chain. Links from a node to itself and repeated links are allowed; nodes that occur
     only in links to themselves are absent from the result.
     """
-    state = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    state = links.select("a", "b").where("a <> b")
     seen = None
     while True:
         state = written(_small(_large(state)))

@@ -1,4 +1,9 @@
-"""Near duplicates by the Jaccard likeness of word-shingle sets, found exactly.
+"""Near duplicates by the Jaccard likeness of word-shingle sets.
+
+Nothing is sampled, capped or cut. Shingles are compared by 64-bit hashes and sets named by 128 bits,
+which is all that chance can touch: two sets of n shingles count one too many with a chance of about
+n * n / 2**63, two different sets of N are one with N * N / 2**129, and a link is overlooked only if
+the two sets' blocks or first 64 bits coincide, one chance in 2**64 a link.
 
 Shingles are hashed into groups. A set's group counts are a point, and two sets cannot share more
 than the sum over the groups of the smaller count; an R-tree whose nodes keep each coordinate's
@@ -11,6 +16,10 @@ the same shingles there. Each set is dealt under (size class, group, hash of the
 link is lost, and a passage or line shared by many texts does not bring them together, for their
 other shingles fall into its groups. Equal sets are one point from the start.
 
+A group that a set leaves empty is no key, or all short texts would meet in it. A set that fills more
+than d groups has a full one among the untouched; two sets of d full groups or fewer, which only
+short texts have, are dealt again by other groups, and after LEVELS of those by their single shingles.
+
 In each block all members are first verified against its pivot, the member that is in most blocks;
 members that are in one component then need no further pair. What is left of a pivot's neighbourhood,
 all that met it in a block, goes through the R-tree in tiles of a bounded number of points.
@@ -23,9 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import graph, hashing
 from .common import need, partitions, written
@@ -33,8 +41,12 @@ from .common import need, partitions, written
 U = np.uint64
 #: Groups that make the tree's points, and the least and most that make a set's fine point, which has one for every four shingles.
 GROUPS, COARSEST, FINEST = 256, 64, 1 << 14
-#: Points in one task's tile of a block, and in a leaf.
+#: Groupings that a set tries before it is dealt by its single shingles; below 4096.
+LEVELS = 6
+#: Points in one task's tile of a neighbourhood, about, and in a leaf.
 TILE, LEAF = 2048, 32
+#: Counts from here on are kept in eight bytes instead of two.
+WIDE = 1 << 16
 
 
 @functools.cache
@@ -55,30 +67,46 @@ def classes(num: int, den: int, top: int) -> tuple[np.ndarray, list[tuple[int, i
 
 
 def block_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The blocks of one sorted set: its own class's groups, and the class below's if a set of that class can link to it."""
+    """The blocks of one sorted set: its own class's groups, and the class below's if a set of that class can link to it.
+
+    Only what a set holds makes a key. Of two linked sets that a level of groups doesn't bring together
+    both fill d groups at most, so both go on to the next level.
+    """
     n = len(own)
     if not n:
         return np.zeros(0, dtype=np.uint64)
     first, found = classes(num, den, 1 << max(10, (n * 2).bit_length()))
     c = int(np.searchsorted(first, n, side="right")) - 1
-    content, keys = hashing.mix(own ^ U(0x5851F42D4C957F2D)), []
+    keys = []
     low = c
     while low > 0 and n <= found[low - 1][2]:
         low -= 1
     for at in range(low, c + 1):
         d, m, _ = found[at]
-        group = ((own >> U(32)) * U(m)) >> U(32)
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        place = hashing.mix(group[starts] + U(at << 40))
-        keys.append(hashing.mix(np.add.reduceat(content, starts) + place))
-        if m - len(starts) >= m - d:  # all untouched groups may be empty ones
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), group[starts])
-            keys.append(hashing.mix(hashing.mix(empty + U(at << 40)) + U(0x1F83D9ABFB41BD6B)))
+        for level in range(LEVELS):
+            dealt = own if not level else np.sort(hashing.mix(own + hashing.STEP[level]))
+            content = hashing.mix(dealt ^ U(0x5851F42D4C957F2D))
+            group = ((dealt >> U(32)) * U(m)) >> U(32)
+            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            keys.append(hashing.mix(np.add.reduceat(content, starts) + hashing.mix(group[starts] + U((level * 4096 + at) << 40))))
+            if len(starts) > d:
+                break
+        else:
+            keys.append(hashing.mix(own + U((LEVELS * 4096 + at) << 40)))
     return np.concatenate(keys)
 
 
-def set_id(own: np.ndarray) -> int:
-    return int(hashing.mix(hashing.mix(own).sum(dtype=np.uint64, keepdims=True) + U(len(own)))[0].astype(np.int64)) if len(own) else 0
+def set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each set; 0 of an empty one."""
+    size = np.array([len(x) for x in sets], dtype=np.uint64)
+    out = np.zeros((2, len(sets)), dtype=np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        flat = np.concatenate([sets[i] for i in full])
+        starts = np.concatenate(([0], np.cumsum(size[full])[:-1])).astype(np.int64)
+        for i, salt in enumerate((U(0), U(0x1F83D9ABFB41BD6B))):
+            out[i, full] = hashing.mix(np.add.reduceat(hashing.mix(flat ^ salt), starts) + size[full] + salt)
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def counts(own: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -87,14 +115,31 @@ def counts(own: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 
 
 def fine_point(own: np.ndarray) -> np.ndarray:
-    return counts(own, min(FINEST, max(COARSEST, 1 << (len(own) // 4).bit_length()))).astype(np.uint16)
+    return counts(own, min(FINEST, max(COARSEST, 1 << (len(own) // 4).bit_length())))
+
 
+def packed(point: np.ndarray) -> bytes:
+    """Counts as bytes, the last of which is the size of one count."""
+    kind = np.uint16 if int(point.max()) < WIDE else np.int64
+    return point.astype(kind).tobytes() + bytes([np.dtype(kind).itemsize])
 
-def may_link(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
-    """Whether the summed minima of two points, at the coarser one's groups, reach what a link needs."""
-    n = min(len(p), len(q))
-    p, q = (x.astype(np.int64).reshape(n, -1).sum(axis=1) for x in (p, q))
-    return int(np.minimum(p, q).sum()) * (num + den) >= num * int(p.sum() + q.sum())
+
+def unpacked(data: pa.Buffer | bytes) -> np.ndarray:
+    data = memoryview(data)
+    return np.frombuffer(data[:-1], dtype=np.uint16 if data[-1] == 2 else np.int64).astype(np.int64)
+
+
+def may_link(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each two points whether their summed minima, at the coarser one's groups, reach what a link needs. Points of one size are compared at once."""
+    out = np.zeros(len(left), dtype=bool)
+    sizes = np.array([(len(p), len(q)) for p, q in zip(left, right, strict=True)], dtype=np.int64).reshape(-1, 2)
+    for x, y in np.unique(sizes, axis=0).tolist():
+        n = min(x, y)
+        same = np.flatnonzero((sizes == (x, y)).all(axis=1))
+        for at in np.array_split(same, max(1, len(same) * (x + y) // (1 << 18))):
+            p, q = (np.stack([own[i] for i in at]).reshape(len(at), n, -1).sum(axis=2) for own in (left, right))
+            out[at] = np.minimum(p, q).sum(axis=1) * (num + den) >= num * (p.sum(axis=1) + q.sum(axis=1))
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -144,32 +189,34 @@ class CountTree:
                 stack += [(a, x) for x in b.parts]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """Keys and shingle sets of batches of (key, text)."""
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[pa.Array], list[np.ndarray]]]:
+    """Keys, digests and shingle sets of batches of (key, h, text)."""
     for batch in batches:
-        for a, b, data, offsets in hashing.chunks(batch.column(1)):
-            yield batch.column(0).slice(a, b - a), list(hashing.shingles(*hashing.words(data, offsets), k))
+        for a, b, data, offsets in hashing.chunks(batch.column(2)):
+            yield batch.slice(a, b - a).columns[:2], list(hashing.shingles(*hashing.words(data, offsets), k))
 
 
 def _sized(df: DataFrame, k: int) -> DataFrame:
+    """key, h, n, sid, check of rows of (key, h, text): a set's size and the two halves of its id."""
+
     def run(batches):
         for keys, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([keys, pa.array([len(x) for x in sets], pa.int64()), pa.array([set_id(x) for x in sets], pa.int64())], names=["key", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, set_ids(sets))], names=["key", "h", "n", "sid", "check"])
 
-    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, n long, sid long")
+    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, h long, n long, sid long, check long")
 
 
 def _dealt(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """sid, block for each set; a set that a task meets again is dealt once."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for _, sets in _sets(batches, k):
             sids, blocks = [], []
-            for own in sets:
-                if len(own) and (sid := set_id(own)) not in seen:
-                    seen.add(sid)
-                    sids.append(sid)
+            for own, name in zip(sets, zip(*(x.tolist() for x in set_ids(sets)), strict=True), strict=True):
+                if len(own) and name not in seen:
+                    seen.add(name)
+                    sids.append(name[0])
                     blocks.append(block_keys(own, num, den).astype(np.int64))
             if sids:
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in blocks]))).astype(np.int32)
@@ -179,92 +226,111 @@ def _dealt(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _loaded(df: DataFrame, k: int) -> DataFrame:
-    """sid, own (the sorted set as bytes), fine and point (its group counts as bytes) of rows of (key, text), once for each task that meets a set."""
+    """sid, check, n, own (the sorted set as bytes), fine and point (its packed group counts) of rows of (key, h, text), once for each task that meets a set."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for _, sets in _sets(batches, k):
-            new = {sid: x for x in sets if (sid := set_id(x)) not in seen}
+            new = {name: x for x, name in zip(sets, zip(*(x.tolist() for x in set_ids(sets)), strict=True), strict=True) if name not in seen}
             seen.update(new)
-            made = [[x.tobytes() for x in new.values()], [fine_point(x).tobytes() for x in new.values()], [counts(x).astype(np.uint16).tobytes() for x in new.values()]]
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), *[pa.array(x, pa.binary()) for x in made]], names=["sid", "own", "fine", "point"])
+            made = [[x.tobytes() for x in new.values()], [packed(fine_point(x)) for x in new.values()], [packed(counts(x)) for x in new.values()]]
+            names = [pa.array([name[i] for name in new], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array([len(x) for x in new.values()], pa.int64()), *[pa.array(x, pa.binary()) for x in made]], names=["sid", "check", "n", "own", "fine", "point"])
 
-    return df.mapInArrow(run, "sid long, own binary, fine binary, point binary")
+    return df.mapInArrow(run, "sid long, check long, n long, own binary, fine binary, point binary")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose summed coordinate minima reach what a link needs; only points are moved."""
-    left = sets.select(F.col("sid").alias("a"), F.col("fine").alias("p"))
-    right = sets.select(F.col("sid").alias("b"), F.col("fine").alias("q"))
+def _node() -> Column:
+    """A set as a node of the graph: both halves of its id."""
+    return F.struct("sid", "check")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame, column: str, keep) -> DataFrame:
+    """The pairs (a, b) whose sets' column, as bytes, keep allows; only that column is moved."""
+    left = sets.select(_node().alias("a"), F.col(column).alias("x"))
+    right = sets.select(_node().alias("b"), F.col(column).alias("y"))
+    node = "struct<sid:bigint,check:bigint>"
 
     def run(batches):
         for batch in batches:
-            load = lambda column, i: np.frombuffer(column[i].as_buffer(), dtype=np.uint16)
-            keep = [may_link(load(batch.column(2), i), load(batch.column(3), i), num, den) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            buffers = [[v.as_buffer() for v in batch.column(c)] for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep(*buffers), pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {node}, b {node}")
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose summed coordinate minima reach what a link needs."""
+    return _judged(pairs, sets, "fine", lambda x, y: may_link([unpacked(v) for v in x], [unpacked(v) for v in y], num, den))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("sid").alias("a"), F.col("own").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("own").alias("y"))
+    """The pairs that link."""
+    whole = functools.partial(np.frombuffer, dtype=np.uint64)
+    return _judged(pairs, sets, "own", lambda x, y: [linked(whole(p), whole(q), num, den) for p, q in zip(x, y, strict=True)])
 
-    def run(batches):
-        for batch in batches:
-            load = lambda column, i: np.frombuffer(column[i].as_buffer(), dtype=np.uint64)
-            keep = [linked(load(batch.column(2), i), load(batch.column(3), i), num, den) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _tiles(rest: DataFrame) -> DataFrame:
+    """rest (pivot, ...) with tile and tiles: a neighbourhood's members dealt by hash into as many tiles as TILE of them need, without gathering them."""
+    size = rest.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    return rest.join(size, "pivot").withColumn("tile", F.pmod(F.xxhash64("sid", "check"), F.col("tiles")).cast("int"))
 
 
 def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b), a < b, of different labels that an R-tree leaves of each tile pair of a neighbourhood.
 
-    rest: pivot, sid, n, label, point. Members in order of size are cut into tiles; each pair of tiles
-    is one group, so a neighbourhood of any size is spread over tasks that hold two tiles at most.
+    rest: pivot, sid, check, label, point. Each pair of tiles is one group, so a neighbourhood of any size is spread
+    over tasks that hold two tiles at most. A label is given as its 64-bit hash.
     """
-    order = Window.partitionBy("pivot")
-    tiled = rest.withColumn("tile", F.floor((F.row_number().over(order.orderBy("n", "sid")) - 1) / TILE).cast("int")).withColumn("tiles", F.max("tile").over(order) + 1)
-    dealt = tiled.select("pivot", "sid", "label", "point", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
-    dealt = dealt.select("pivot", F.least("tile", "t").alias("i"), F.greatest("tile", "t").alias("j"), "tile", "sid", "label", "point")
-
-    def pairs(block):
-        points = np.stack([x[3] for x in block])
-        sid, label = np.array([x[1] for x in block]), np.array([x[2] for x in block])
-        tile = np.array([x[0] for x in block])
+    tiled = _tiles(rest)
+    dealt = tiled.select("pivot", "sid", "check", F.xxhash64("label").alias("label"), "point", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    dealt = dealt.select("pivot", F.least("tile", "t").alias("i"), F.greatest("tile", "t").alias("j"), "tile", "sid", "check", "label", "point")
+
+    def pairs(tile, label, points):
         low = tile == tile.min()
         if low.all():
             tree = CountTree(points, label)
-            found = tree.join(tree, points, points, num, den)
-            own = other = np.arange(len(block))
+            found, own, other = tree.join(tree, points, points, num, den), np.arange(len(tile)), np.arange(len(tile))
         else:
             own, other = np.flatnonzero(low), np.flatnonzero(~low)
             found = CountTree(points[own], label[own]).join(CountTree(points[other], label[other]), points[own], points[other], num, den)
         for p, q in found:
             p, q = own[p], other[q]
             keep = label[p] != label[q]
-            a, b = sid[p[keep]], sid[q[keep]]
-            yield np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+            yield p[keep], q[keep]
+
+    def emit(group: pa.Table):
+        group = group.combine_chunks()
+        tile, sid, check, label = (group.column(c).to_numpy() for c in (3, 4, 5, 6))
+        if len(tile) < 2 or (label == label[0]).all():
+            return
+        points = np.stack([unpacked(v.as_buffer()) for v in group.column(7)])
+        for p, q in pairs(tile, label, points):
+            swap = (sid[p] > sid[q]) | ((sid[p] == sid[q]) & (check[p] > check[q]))
+            a, b = np.where(swap, q, p), np.where(swap, p, q)
+            at = np.unique(np.stack((a, b), axis=1), axis=0)
+            ends = [pa.StructArray.from_arrays([pa.array(sid[x]), pa.array(check[x])], names=["sid", "check"]) for x in at.T]
+            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     def run(batches):
-        at, block = None, []
+        at, held = None, []
         for batch in batches:
-            for r in range(batch.num_rows):
-                key = tuple(batch.column(c)[r].as_py() for c in range(3))
-                if key != at:
-                    for found in pairs(block) if len(block) > 1 else ():
-                        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-                    at, block = key, []
-                tile, sid, label = (batch.column(c)[r].as_py() for c in (3, 4, 5))
-                block.append((tile, sid, label, np.frombuffer(batch.column(6)[r].as_buffer(), dtype=np.uint16).astype(np.int32)))
-        for found in pairs(block) if len(block) > 1 else ():
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))).tolist() if batch.num_rows else []
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                key = tuple(keys[:, a].tolist())
+                if key != at and held:
+                    yield from emit(pa.Table.from_batches(held))
+                    held = []
+                at = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from emit(pa.Table.from_batches(held))
+
+    node = "struct<sid:bigint,check:bigint>"
     spread = dealt.repartition(partitions(rest.sparkSession), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(run, f"a {node}, b {node}").distinct()
+
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -273,44 +339,49 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     Words are runs of anything but space and tab to carriage return, with A-Z in lower case. A row's
     set is its distinct shingles of so many words, or its whole sequence if that is shorter. Two rows
     link when den * shared >= num * united. Rows without words, and null texts, link with nothing and
-    keep their own key. Repeated keys give a row each. A component whose keys are all null has null.
+    keep their own key. Repeated keys give a row each; a component takes the least key whatever row
+    has it, so ties need no rule. A component whose keys are all null has null. An empty table gives
+    none. A very long text is one task's work at a time and needs some 100 bytes of memory a word.
     Other columns are dropped, so none can clash.
     """
     need(df, key, text)
     if not (0 < num <= den and 1 <= words <= 32):
         raise ValueError("0 < num <= den and 1 to 32 words")
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    src = df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("h"), F.col(text).alias("text"))
     sized = written(_sized(src, words))
+    node = ["sid", "check"]
 
     block = Window.partitionBy("block")
     dealt = _dealt(src, words, num, den).select("*", F.min("sid").over(block).alias("x"), F.max("sid").over(block).alias("y"), F.lag("sid").over(block.orderBy("sid")).alias("before"))
     shared = written(dealt.where("x <> y and not (before <=> sid)").select("block", "sid"))
-    degree = shared.groupBy("sid").agg(F.count("*").alias("degree")).join(sized.groupBy("sid").agg(F.max("n").alias("n")), "sid")
-    met = shared.join(degree, "sid").withColumn("pivot", F.max(F.struct("degree", "sid", "n")).over(block))
-    near = f"least(n, pivot.n) * {den} >= greatest(n, pivot.n) * {num}"
-    stars = written(met.where("sid <> pivot.sid").select(F.col("pivot.sid").alias("pivot"), "sid", "n", F.expr(near).alias("near")).distinct())
+    met = shared.join(shared.groupBy("sid").agg(F.count("*").alias("degree")), "sid")
+    pivots = met.groupBy("block").agg(F.max(F.struct("degree", "sid"))["sid"].alias("pivot"))
+    stars = shared.join(pivots, "block").where("sid <> pivot").select("pivot", "sid").distinct()
 
+    # one row of each set that shares a block is loaded, found again by a digest of its key and text
     alone = shared.select("sid").distinct()
-    wanted = alone.join(sized.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")), "sid").select("key")
-    if isinstance(df.schema[key].dataType, StructType):  # by a digest, a long; a set loaded twice does no harm
-        named = src.withColumn("h", F.xxhash64("key")).join(wanted.select(F.xxhash64("key").alias("h")), "h", "left_semi").drop("h")
-    else:
-        named = src.join(wanted, "key", "left_semi")
-    named = _loaded(named, words)
-    nameless = _loaded(src.where("key is null"), words).join(alone, "sid", "left_semi").groupBy("sid").agg(F.first("own").alias("own"), F.first("fine").alias("fine"), F.first("point").alias("point"))
-    sets = written(named.unionByName(nameless))
-
-    links = written(_verified(_bounded(stars.where("near").select(F.col("pivot").alias("a"), F.col("sid").alias("b")), sets, num, den), sets, num, den))
+    wanted = written(alone.join(sized.where("n > 0"), "sid").groupBy(*node).agg(F.min("h").alias("h")).select("h").distinct())
+    sets = written(_loaded(src.join(wanted, "h", "left_semi"), words))
+
+    names = sets.select("sid", "check", "n").distinct()
+    ends = [names.select(F.col("sid").alias(x), _node().alias(y), F.col("n").alias(f"n_{y}")) for x, y in (("pivot", "a"), ("sid", "b"))]
+    around = written(stars.join(ends[1], "sid").join(ends[0], "pivot").select("pivot", "a", "n_a", "b", "n_b"))
+    near = around.where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}").select("a", "b").distinct()
+    links = written(_verified(_bounded(near, sets, num, den), sets, num, den).distinct())
     root = graph.components(links)
 
-    around = Window.partitionBy("pivot")
-    labelled = stars.join(root.withColumnRenamed("node", "sid"), "sid", "left").select("pivot", "sid", "n", F.coalesce("root", "sid").alias("label"))
-    rest = written(labelled.select("*", F.min("label").over(around).alias("x"), F.max("label").over(around).alias("y")).where("x <> y").drop("x", "y"))
+    labelled = around.select("pivot", "b").distinct().join(root.withColumnRenamed("node", "b"), "b", "left").select("pivot", "b", F.coalesce("root", "b").alias("label"))
+    several = labelled.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("pivot")
+    rest = written(labelled.join(several, "pivot", "left_semi").select("pivot", "b.sid", "b.check", "label"))
     if not rest.isEmpty():
-        close = _tree_pairs(rest.join(sets.select("sid", "point"), "sid"), num, den)
-        more = written(_verified(_bounded(close, sets, num, den), sets, num, den))
+        points = sets.groupBy(*node).agg(F.first("point").alias("point"))
+        more = written(_verified(_bounded(_tree_pairs(rest.join(points, node), num, den), sets, num, den), sets, num, den).distinct())
         root = graph.components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    full = sized.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
-    least = full.where("n > 0").groupBy("label").agg(F.min("key").alias("component"))
-    return full.join(least, "label", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
+    least = sized.where("n > 0").groupBy(*node).agg(F.min("key").alias("least"))
+    named = least.join(root.select("node.sid", "node.check", F.col("root").alias("label")), node, "left").select(*node, F.coalesce("label", _node()).alias("label"), "least")
+    of = named.groupBy("label").agg(F.min("least").alias("component"))
+    # written, so that a set or component of very many rows is a skewed join that Spark splits
+    component = written(named.select(*node, "label").join(written(of), "label").select(*node, "component"))
+    full = sized.join(component, node, "left")
+    return full.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))

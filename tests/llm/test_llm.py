@@ -116,6 +116,81 @@ def test_linked_sets_share_a_block(n, share, rnd):
         assert len(np.intersect1d(ngram_join.block_keys(a, num, den), ngram_join.block_keys(b, num, den)))
 
 
+def test_unrelated_short_texts_share_no_block():
+    """Ten-word texts, and others so short that they leave groups empty: no block grows with their number."""
+    rng = np.random.default_rng(5)
+    for n, num in ((6, 80), (7, 85), (4, 80), (9, 80)):
+        largest = []
+        for rows in (2000, 8000):
+            keys = np.concatenate([ngram_join.block_keys(np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)), num, 100) for _ in range(rows)])
+            largest.append(int(np.unique(keys, return_counts=True)[1].max()))
+        assert largest == [1, 1]
+
+
+def test_unrelated_short_texts_make_no_neighbourhood(spark):
+    rows = [(i, " ".join(f"w{random.randrange(10**6)}" for _ in range(10))) for i in range(4000)]
+    got = ngram_join.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["doc_id"] == r["component_id"] and r["n_shingles"] == 6 for r in got)
+    dealt = ngram_join._dealt(spark.createDataFrame(rows, SCHEMA).select("doc_id", F.lit(0), "text"), 5, 80, 100)
+    assert dealt.groupBy("block").count().where("count > 2").count() == 0
+
+
+@given(st.integers(1, 60), st.sampled_from([(85, 100), (80, 100), (60, 100), (1, 3)]), st.randoms(use_true_random=False))
+@settings(max_examples=300, deadline=None)
+def test_linked_short_sets_share_a_block(n, share, rnd):
+    """Also where groups collide: hashes are drawn from few, so that sets fill few groups and go from level to level."""
+    num, den = share
+    pool = [rnd.getrandbits(64) for _ in range(8)] + [rnd.getrandbits(32) for _ in range(80)]
+    a = sorted(set(rnd.choices(pool, k=n)))
+    b = sorted(set(a) ^ set(rnd.sample(pool, rnd.randint(0, max(1, len(a) // 3)))))
+    a, b = np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+    if len(b) and ngram_join.linked(a, b, num, den):
+        assert len(np.intersect1d(ngram_join.block_keys(a, num, den), ngram_join.block_keys(b, num, den)))
+
+
+def test_counts_beyond_two_bytes():
+    """Sets of so many shingles that a group's count needs more than two bytes keep their bound."""
+    big = np.zeros(ngram_join.GROUPS, dtype=np.int64)
+    big[:] = 65_700
+    other = big - 10
+    p, q = ngram_join.unpacked(ngram_join.packed(big)), ngram_join.unpacked(ngram_join.packed(other))
+    assert np.array_equal(p, big) and np.array_equal(q, other)
+    assert ngram_join.may_link([p], [q], 85, 100).tolist() == [True]
+    tree = ngram_join.CountTree(np.stack([p, q]), np.array([0, 1]))
+    assert any({0, 1} <= {*x.tolist(), *y.tolist()} for x, y in tree.join(tree, np.stack([p, q]), np.stack([p, q]), 85, 100))
+
+
+def test_join_beyond_the_wrap_point(spark, edge, monkeypatch):
+    monkeypatch.setattr(ngram_join, "packed", lambda x: x.astype(np.int64).tobytes() + bytes([8]))
+    got = ngram_join.near_groups(edge, words=4, num=85, den=100)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_groups(EDGE, 4, 85, 100), key=str)
+
+
+def test_sets_of_one_first_half_are_told_apart(spark, monkeypatch):
+    """The first half of a set's id is made to collide: sets still differ by the second."""
+    own = ngram_join.set_ids
+    monkeypatch.setattr(ngram_join, "set_ids", lambda sets: (own(sets)[0] % 3, own(sets)[1]))
+    base = BASE[2].split()
+    rows = [(i, " ".join(base[: 200 - 3 * (i % 3)] if i < 6 else [f"z{i}_{j}" for j in range(40)])) for i in range(12)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_groups(spark.createDataFrame(rows, SCHEMA), words=4, num=85, den=100).collect()}
+    assert all(got[i] == i for i in range(6, 12)) and all(got[i] == got[i + 3] <= i for i in range(3))
+
+
+def test_bound_of_points_of_several_sizes():
+    rng = np.random.default_rng(9)
+    left = [rng.poisson(2, 64 << int(i)) for i in rng.integers(0, 3, 50)]
+    right = [rng.poisson(2, 64 << int(i)) for i in rng.integers(0, 3, 50)]
+    for i in range(0, 50, 3):
+        right[i] = left[i].copy()
+
+    def one(p, q):
+        n = min(len(p), len(q))
+        p, q = p.reshape(n, -1).sum(axis=1), q.reshape(n, -1).sum(axis=1)
+        return int(np.minimum(p, q).sum()) * 185 >= 85 * int(p.sum() + q.sum())
+
+    assert ngram_join.may_link(left, right, 85, 100).tolist() == [one(p, q) for p, q in zip(left, right, strict=True)]
+
+
 def test_tree_keeps_every_pair_within_the_bound():
     rng = np.random.default_rng(3)
     points = rng.poisson(2, (300, ngram_join.GROUPS))
