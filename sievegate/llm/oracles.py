@@ -1,7 +1,14 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from . import url_filter
+
 SQL: dict[str, str] = {}
 
+#: The contract's rules.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
 SQL["op1_decontaminate"] = r"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
 ), b as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w, least(5, len(w)) as k from benchmark
@@ -110,3 +117,19 @@ with b as (select doc_id, hex(encode(coalesce(text, ''))) as hx, octet_length(en
 select doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head || hx[2 * z + 1 : 2 * n_bytes], hx))) as kept_sha256
 from b left join kept using (doc_id)
 """
+
+
+def url_filter_sql() -> str:
+    """The rules as given, longest first, then the model's weights on the buckets of the URL's n-grams."""
+    model = url_filter.standard()
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda out: "case " + " ".join(f"when (host = '{on}' or ends_with(host, '.{on}')) and starts_with(path, '{start}') then '{out(verdict, on, start)}'" for verdict, on, start in rules) + " end"
+    low = f"'{url_filter.UPPER}', '{url_filter.UPPER.lower()}'"
+    grams = " || ".join(f"case when length(t) >= {n} then list_transform(range(1, length(t) - {n - 2}), lambda i: ('0x' || substring(md5(substring(t, i, {n})), 1, {url_filter.DIGITS}))::int) else [] end" for n in url_filter.GRAMS)
+    return f"""
+with h as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {low}) as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages
+), t as (select *, '^' || host || regexp_replace(translate(path, {low}), '[0-9]+', '0', 'g') || '$' as t from h
+), b as (select *, list_distinct({grams}) as b from t
+), s as (select *, 1 / (1 + exp(-(coalesce(list_sum(list_transform(b, lambda x: {list(model.weights)}[x + 1])), 0) / {float(url_filter.UNIT)} / sqrt(greatest(len(b), 1)) + {model.bias}))) as score from b)
+select page_id, host, path, {fits(lambda verdict, on, start: on + start)} as rule, coalesce({fits(lambda verdict, on, start: verdict)}, case when score >= 0.5 then 'block' else 'allow' end) as verdict, round(score, 9) as score from s
+"""
