@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of input for each partition of a shuffle whose tasks hold what they read; more partitions than are set are used where the input needs them.
+PART = 64 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where it is unset, a folder of our own if there is one machine only, as in tests; else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(spark, "_sievegate_dir", None)
         if not where:
             where = spark._sievegate_dir = "file://" + tempfile.mkdtemp(prefix="sievegate-")
@@ -25,22 +31,33 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sievegate_path = path
+    return out
 
 
-def written_by(df: DataFrame, key: str) -> DataFrame:
-    """As written, in as many buckets of key as there are shuffle partitions, so that later joins on key leave its rows in place."""
+def written_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As written, in so many buckets of key; later joins on key leave its rows in place where there are as many shuffle partitions."""
     spark = df.sparkSession
     name = f"sievegate_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"drop table {name}")  # of the catalogue only: the table is external
+    out._sievegate_path = path
     return out
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._sievegate_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions(spark: SparkSession, size: int = 0) -> int:
+    """spark.sql.shuffle.partitions, or as many as size bytes of input need."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
 
 
 def need(df: DataFrame, *columns: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -27,14 +27,17 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (its component's smallest node) for the nodes of links (a, b: of one orderable type).
 
     Minima are taken by an aggregate, so a node with very many neighbours is combined before the
-    shuffle, and each round is written to the shared folder. Rounds grow with the logarithm of the
+    shuffle, and each round is written to the shared folder and the one before deleted. Rounds grow with the logarithm of the
     longest chain. Links from a node to itself and repeated links are allowed; nodes that occur
     only in links to themselves are absent from the result.
     """
     state = links.select("a", "b").where("a <> b")
-    seen = None
+    seen = before = None
     while True:
         state = written(_small(_large(state)))
+        if before is not None:
+            forget(before)
+        before = state
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not now[0] or now == seen:
             break

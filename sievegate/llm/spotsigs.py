@@ -2,8 +2,8 @@
 
 A common word of running prose, an anchor, and the next content words after it make a spot
 signature; boilerplate and lists, which have few anchors, hardly count. A document's fingerprint
-stands for its set of distinct signatures. Sets are likened by Jaccard; sets whose lengths alone
-bound the likeness below a threshold are never intersected.
+stands for its set of distinct signatures. Sets are likened by Jaccard, by partitions of their
+length: sets whose partitions or lengths alone bound the likeness below a threshold are never intersected.
 
 The j-th anchor (from 0) of a text at word place p has p - j content words before it, so its chain
 starts at place p - j of the content words: one pass over the words and no search.
@@ -11,10 +11,13 @@ starts at place p - j of the content words: one pass over the words and no searc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, need, partitions
+from .common import PART, let, need, partitions
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = """
@@ -25,6 +28,8 @@ el los las del y por con lo su una al como para no si sus
 """.split()
 #: Content words of a chain; with fewer signatures than FEW a text's words and word pairs count too.
 CHAIN, FEW = 2, 4
+#: A likeness below this counts as none, so that lengths alone can decide; and bytes of texts in a range of keys.
+LEAST, RANGE = 0.05, 128 << 20
 
 
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
@@ -60,45 +65,76 @@ def fingerprint(found: Column) -> Column:
     return F.concat(F.size(found).cast("string"), F.lit("-"), F.substring(F.sha2(F.array_join(found.cast("array<string>"), ","), 256), 1, 32))
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard of two signature sets; 0 where the lengths alone keep it below least; 1 for two empty sets."""
+def length_part(size: Column, least: float) -> Column:
+    """The partition of a set's length. A partition's lengths lie within 1 : 1 / least, so sets of a likeness of least or more are in one or in neighbouring partitions; -1 for an empty set."""
+    return F.when(size > 0, F.floor(F.log(size.cast("double")) / F.lit(math.log(1 / least)) + F.lit(1e-9)).cast("int")).otherwise(-1)
+
+
+def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
+    """Jaccard of two signature sets; 0 where their length partitions or lengths alone keep it below least, and 1 for two empty sets.
+
+    The sets of a pruned pair are never intersected. From least on a likeness is exact.
+    """
     x, y = F.size(a), F.size(b)
+    far = F.abs(length_part(x, least) - length_part(y, least)) > 1
     shared = F.size(F.array_intersect(a, b))
-    return F.when((x == 0) & (y == 0), 1.0).when(F.least(x, y) < F.lit(least) * F.greatest(x, y), 0.0).otherwise(let(shared, lambda s: s / (x + y - s)))
+    return F.when((x == 0) & (y == 0), 1.0).when(far, 0.0).when(F.least(x, y) < F.lit(least) * F.greatest(x, y), 0.0).otherwise(let(shared, lambda s: s / (x + y - s)))
+
+
+#: The place of a row: its key and its text's hash.
+Place = tuple[int, int]
 
 
-def _firsts(spark: SparkSession, keys: DataFrame) -> list[int]:
-    """The smallest key of each range when the keys are cut into about as many ranges as there are partitions."""
-    n = min(partitions(spark), 1000)
-    cuts = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    found = keys.groupBy(_range(F.col("k"), cuts).alias("range")).agg(F.min("k").alias("k")).collect()
-    return sorted(r["k"] for r in found)
+def _cuts(quantiles: list[int]) -> list[Place]:
+    """Cuts at the quantiles of the keys; a key that several of them name has many rows and is cut by their texts' hashes, too."""
+    return [(k, -(2**63) + i * 2**64 // n) for k, n in sorted(Counter(quantiles).items()) for i in range(n)]
 
 
-def _range(k: Column, cuts: list[int]) -> Column:
-    """How many of the cuts are at or below k."""
+def _firsts(rows: DataFrame) -> list[Place]:
+    """The smallest place of each range when rows (k, h, text) are cut into ranges of about RANGE bytes, and into as many as there are partitions at least."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = partitions(rows.sparkSession, size * PART // RANGE)
+    quantiles = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0] or []
+    found = rows.groupBy(_range(_cuts(quantiles)).alias("range")).agg(F.min(F.struct("k", "h")).alias("first")).collect()
+    return sorted(tuple(r["first"]) for r in found)
+
+
+def _longs(values: list[int]) -> Column:
+    return F.from_json(F.lit(str(values)), "array<bigint>")
+
+
+def _range(cuts: list[Place]) -> Column:
+    """How many of the sorted cuts are at or below (k, h), by binary search."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.from_json(F.lit(str(cuts)), "array<bigint>"), lambda c: c <= k))
+    ks, hs = _longs([k for k, _ in cuts]), _longs([h for _, h in cuts])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+
+    def reached(i: Column) -> Column:
+        k = F.get(ks, i)
+        return F.coalesce((k < F.col("k")) | ((k == F.col("k")) & (F.get(hs, i) <= F.col("h"))), F.lit(False))
+
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(reached(at + step - 1), step).otherwise(0))
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, next (the text of the row with the next larger key; after the last row, the first's), part, order.
 
-    Rows are dealt into ranges of keys, each range with a copy of the next range's first row; every
-    range is its own task. Null keys come first and null texts count as empty; rows of one key are
-    ordered by their text's hash. part and order are the columns to window by without another shuffle.
+    Rows are dealt into ranges of places (key, then the text's hash), each range with a copy of the next
+    range's first place; every range is its own task, and a key of very many rows has several. Null
+    keys come first and null texts count as empty. part and order are the columns to window by without
+    another shuffle.
     """
     need(df, key, text)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    k = F.coalesce(F.col("key"), F.lit(-(2**63)))
-    firsts = _firsts(df.sparkSession, rows.select(k.alias("k")))
-    at = _range(k, firsts)
-    before = F.when(at > 1, at - 1).otherwise(len(firsts))
-    own = F.struct(at.alias("part"), F.lit(0).alias("copy"))
-    places = F.when(k.isin(firsts), F.array(own, F.struct(before.alias("part"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    dealt = rows.select("key", "text", k.alias("k"), F.explode(places).alias("place")).select("key", "text", "place.part", F.struct("place.copy", "k", F.xxhash64("text").alias("h")).alias("order"))
+    rows = rows.select("key", "text", F.coalesce("key", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"))
+    firsts = _firsts(rows)
+    placed = rows.withColumn("at", _range(firsts))
+    before = F.when(F.col("at") > 1, F.col("at") - 1).otherwise(len(firsts))
+    own = F.struct(F.col("at").alias("part"), F.lit(0).alias("copy"))
+    first = (F.get(_longs([k for k, _ in firsts]), F.col("at") - 1) == F.col("k")) & (F.get(_longs([h for _, h in firsts]), F.col("at") - 1) == F.col("h"))
+    places = F.when(first, F.array(own, F.struct(before.alias("part"), F.lit(1).alias("copy")))).otherwise(F.array(own))
+    dealt = placed.select("key", "text", "k", "h", F.explode(places).alias("place")).select("key", "text", "place.part", F.struct("place.copy", "k", "h").alias("order"))
     dealt = dealt.repartition(max(1, len(firsts)), "part")
     return dealt.withColumn("next", F.lead("text").over(Window.partitionBy("part").orderBy("order")))
 
@@ -113,8 +149,11 @@ def edited(text: Column, after: Column) -> Column:
 def compare_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_chars, edited (the edited text), signatures, edited_signatures, near_edited, near_next for each row.
 
-    near_next likens a row to the next one, near_edited to its own edited text. Rows with null or
-    empty text have an empty set, which equals another empty set; a table of one row is its own next.
+    near_next likens a row to the next one, near_edited to its own edited text, both by the pruned
+    likeness. Rows with null or empty text have an empty set, which equals another empty set; a table
+    of one row is its own next. Rows of one key, repeated or null, follow each other in the order of
+    their texts' hashes; null keys come first. An empty table gives none. The cost of a text is in proportion to
+    its length. Other columns are dropped, so none can clash.
     """
     paired = with_next(df, key, text)
     found = paired.withColumn("own", signatures(F.col("text")))

@@ -482,34 +482,59 @@ def brute_signatures(text):
     return out
 
 
-def test_fingerprints_against_python(spark, empty):
-    rows = [(k, t) for k, t in EDGE if k is not None and k != 17] + [(30 + i, f"the {w} of {prose(30)} and the {prose(9)}") for i, w in enumerate(VOCABULARY[:8])]
-    got = {r["doc_id"]: r for r in spotsigs.compare_next(spark.createDataFrame(rows, SCHEMA)).collect()}
-    rows.sort()
-    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
-    for i, (key, text) in enumerate(rows):
-        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+def like(a, b):
+    exact = 1.0 if not a and not b else len(a & b) / len(a | b)
+    return exact if exact >= spotsigs.LEAST or min(len(a), len(b)) >= spotsigs.LEAST * max(len(a), len(b)) else 0.0
+
+
+def java_hash(spark, texts):
+    return {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in set(texts)], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_fingerprints_against_python(spark, empty, monkeypatch, small):
+    """Also with null and repeated keys and rows, extra columns, and ranges of few rows."""
+    if small:
+        monkeypatch.setattr(spotsigs, "RANGE", 200)
+    rows = [*EDGE, (17, BASE[1]), (17, None), (None, BASE[3]), (None, ""), *[(30 + i, f"the {w} of {prose(30)} and the {prose(9)}") for i, w in enumerate(VOCABULARY[:8])]]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(1).alias(c) for c in ("key", "k", "h", "part", "order", "next", "at")])
+    got = sorted(((r["doc_id"], r["n_chars"], r["edited"], len(r["signatures"]), round(r["near_edited"], 9), round(r["near_next"], 9)) for r in spotsigs.compare_next(df).collect()), key=repr)
+    hashed = java_hash(spark, [t or "" for _, t in rows])
+    rows = sorted(((-(2**63) if k is None else k, hashed[t or ""], t or "") for k, t in rows))
+    want = []
+    for i, (key, _, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][2]
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
-        r = got[key]
-        assert (r["n_chars"], r["edited"]) == (len(text), edited)
-        assert len(r["signatures"]) == len(brute_signatures(text)) and r["signatures"] == sorted(r["signatures"])
-        assert r["near_edited"] == pytest.approx(like(brute_signatures(text), brute_signatures(edited)))
-        assert r["near_next"] == pytest.approx(like(brute_signatures(text), brute_signatures(after)))
+        own = brute_signatures(text)
+        want.append((None if key == -(2**63) else key, len(text), edited, len(own), round(like(own, brute_signatures(edited)), 9), round(like(own, brute_signatures(after)), 9)))
+    assert got == sorted(want, key=repr)
     assert spotsigs.compare_next(empty).count() == 0
 
 
-def test_next_of_repeated_and_null_keys(spark, edge):
-    got = spotsigs.compare_next(edge).collect()
-    assert len(got) == len(EDGE) and sum(r["doc_id"] is None for r in got) == 1
+def test_next_of_a_lone_row(spark):
     alone = spotsigs.compare_next(spark.createDataFrame([(4, "the cat sat on the mat")], SCHEMA)).first()
     assert alone["near_next"] == 1.0
 
 
+def test_a_key_of_many_rows_is_cut(spark):
+    df = spark.createDataFrame([(7 if i % 3 else i, f"text {i}") for i in range(600)] + [(None, f"other {i}") for i in range(300)], SCHEMA)
+    sizes = [r["count"] for r in spotsigs.with_next(df).groupBy("part").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) <= 0.6 * 900
+    assert spotsigs._cuts([3, 5, 5, 9]) == [(3, -(2**63)), (5, -(2**63)), (5, 0), (9, -(2**63))]
+
+
 def test_pruned_likeness(spark):
-    a, b = F.array(*map(F.lit, range(10))), F.array(*map(F.lit, range(4)))
-    row = spark.range(1).select(spotsigs.likeness(a, b).alias("x"), spotsigs.likeness(a, b, 0.5).alias("y")).first()
-    assert (row["x"], row["y"]) == (0.4, 0.0)
+    sets = [list(range(n)) for n in (0, 1, 2, 4, 10, 19, 20, 21, 60, 500)]
+    df = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(sets) for j, b in enumerate(sets)], "i int, j int, a array<bigint>, b array<bigint>")
+    for least in (0.05, 0.5, 0.8):
+        for r in df.select("*", spotsigs.likeness(F.col("a"), F.col("b"), least).alias("s"), spotsigs.length_part(F.size("a"), least).alias("p"), spotsigs.length_part(F.size("b"), least).alias("q")).collect():
+            x, y = set(r["a"]), set(r["b"])
+            exact = len(x & y) / len(x | y) if x | y else 1.0
+            assert r["s"] == pytest.approx(exact) if exact >= least else r["s"] in (0.0, pytest.approx(exact))
+            assert exact < least or abs(r["p"] - r["q"]) <= 1
+            if min(len(x), len(y)) < least * max(len(x), len(y)):
+                assert r["s"] == 0.0
 
 
 # tokens
