@@ -34,8 +34,8 @@ U = np.uint64
 LOW = (1 << 40) - 1
 #: The key of a gram that several documents of a task hold.
 SEVERAL = np.int64(-(2**63))
-#: Anchors packed at once by a task, and bytes of contexts in a suffix array's shard.
-PACK, SHARD = 500_000, 1 << 20
+#: Anchors packed at once by a task, bytes of contexts in a suffix array's shard, and contexts that a task remembers.
+PACK, SHARD, SEEN = 500_000, 1 << 20, 300_000
 
 
 def gram_of(length: int) -> int:
@@ -59,7 +59,7 @@ def _spread(size: int) -> np.ndarray:
 
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
     """A gram's bucket: buckets are ranges of hashes, which don't depend on the order that makes anchors."""
-    return ((gram >> U(48)) * U(buckets) >> U(16)).astype(np.int64)
+    return ((gram >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
 def context_hash(body: np.ndarray, bits: np.ndarray, lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ class Texts:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """bucket, shared, pack of (key, text): a pack holds gram hashes and keys; shared ones are known to be in two documents."""
+    """bucket, shared, pack of (rid, text): a pack holds gram hashes and rids; shared ones are known to be in two rows."""
     grams: list[np.ndarray] = []
     keys: list[int] = []
     held = 0
@@ -183,7 +183,7 @@ def _unpack(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, grams (bytes of the shared grams' low bits) from a partition of packs, in which all packs of a bucket are."""
+    """rid, grams (bytes of the shared grams' low bits) from a partition of packs, in which all packs of a bucket are."""
     packs: dict[int, list[tuple[bool, bytes]]] = {}
     for batch in batches:
         for bucket, shared, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -204,25 +204,27 @@ def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(who, kind="stable")
         low, who = low[order], who[order]
         cuts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1], [True])))
-        yield pa.RecordBatch.from_arrays([pa.array(who[cuts[:-1]]), pa.array([_split(low[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["key", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array(who[cuts[:-1]]), pa.array([_split(low[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["rid", "grams"])
 
 
 # contexts and their strings
 
 #: A context on its way to its anchor's partition, and what comes back: strings to remove as bits.
-CONTEXT = "bucket int, mark long, key long, lead int, bits int, body binary"
-FOUND = "key long, mark long, bits int"
+CONTEXT = "bucket int, mark long, key long, salt int, lead int, bits int, body binary"
+FOUND = "key long, salt int, mark long, bits int"
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of (key, id, text, grams): bucket >= 0 to be judged, -1 where a lesser key of this chunk has the same context.
+    """Contexts of (key, salt, text, grams): bucket >= 0 to be judged, -1 where a lesser key that this task has met has the same context.
 
-    A context to be judged goes without its hash, which follows from its bytes; a settled one with nothing else.
+    A context to be judged goes without its hash, which follows from its bytes; a settled one with
+    nothing else. So of a passage that very many rows hold, a task sends little more than one context to be judged.
     """
+    seen: dict[int, int] = {}
     for batch in batches:
         for a, b, data, offsets in hashing.chunks(batch.column(2)):
             texts, found = Texts(data, offsets, length), []
-            keys = np.array(batch.column(0).slice(a, b - a).to_pylist(), dtype=np.int64)
+            keys, salts = (batch.column(c).slice(a, b - a).to_numpy() for c in (0, 1))
             for row in range(b - a):
                 shared = np.sort(_whole(b"".join(batch.column(3)[a + row].as_py())))
                 at, start, stop, bits, mark, own = texts.contexts(row, shared)
@@ -232,23 +234,24 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int)
             if not found:
                 continue
             row, mark, own, bits, lead, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((keys[row], mark))
-            again = np.concatenate(([False], (mark[order][1:] == mark[order][:-1]) & (keys[row][order][1:] == keys[row][order][:-1])))
+            order = np.lexsort((row, keys[row], mark))
+            again = np.concatenate(([False], (mark[order][1:] == mark[order][:-1]) & (row[order][1:] == row[order][:-1])))
             row, mark, own, bits, lead, start, stop = (x[order[~again]] for x in (row, mark, own, bits, lead, start, stop))
-            order = np.arange(len(mark))
-            sorted_mark = mark
-            cuts = np.flatnonzero(np.concatenate(([True], sorted_mark[1:] != sorted_mark[:-1])))
-            least = np.empty(len(mark), dtype=np.int64)
-            least[order] = np.repeat(keys[row][order][cuts], np.diff(np.append(cuts, len(mark))))
-            settled = keys[row] > least
+            cuts = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
+            names, first = mark[cuts].tolist(), keys[row[cuts]].tolist()
+            if len(seen) + len(names) > SEEN:
+                seen.clear()
+            least = [min(k, seen.get(m, k)) for m, k in zip(names, first, strict=True)]
+            seen.update(zip(names, least, strict=True))
+            settled = keys[row] > np.repeat(np.array(least, dtype=np.int64), np.diff(np.append(cuts, len(mark))))
             size = np.where(settled, 0, stop - start)
             ends = np.concatenate(([0], np.cumsum(size)))
             body = data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
             bodies = pa.BinaryArray.from_buffers(pa.binary(), len(mark), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body.tobytes())])
             bucket = np.where(settled, -1, bucket_of(own, buckets))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.astype(np.int32)), pa.array(np.where(settled, mark.view(np.int64), 0)), pa.array(keys[row]), pa.array(lead.astype(np.int32)), pa.array(bits.astype(np.int32)), bodies],
-                names=["bucket", "mark", "key", "lead", "bits", "body"],
+                [pa.array(bucket.astype(np.int32)), pa.array(np.where(settled, mark.view(np.int64), 0)), pa.array(keys[row]), pa.array(salts[row]), pa.array(lead.astype(np.int32)), pa.array(bits.astype(np.int32)), bodies],
+                names=["bucket", "mark", "key", "salt", "lead", "bits", "body"],
             )
 
 
@@ -380,8 +383,8 @@ def _string_hashes(body: pa.Array, lead: np.ndarray, bits: np.ndarray, length: i
 
 def _named(batch: pa.RecordBatch, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchor and context hash of each row."""
-    start, size, total, down = _polynomials(batch.column(5))
-    lead, bits = batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy()
+    start, size, total, down = _polynomials(batch.column("body"))
+    lead, bits = batch.column("lead").to_numpy().astype(np.int64), batch.column("bits").to_numpy()
     at = start + lead
     body = (total[start + size] - total[start]) * down[start]
     return hashing.mix((total[at + gram] - total[at]) * down[at]), context_hash(body, bits, lead, size - lead)
@@ -389,21 +392,21 @@ def _named(batch: pa.RecordBatch, gram: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Strings to remove of the contexts of a partition, in which all contexts of an anchor are."""
-    parts, named, names = [], [], ["key", "mark", "bits"]
+    parts, named, names = [], [], ["key", "salt", "mark", "bits"]
     for batch in batches:
         live = batch.column(0).to_numpy() >= 0
         if not live.all():
             gone = batch.filter(pa.array(~live))
-            yield pa.RecordBatch.from_arrays([gone.column(2), gone.column(1), gone.column(4)], names=names)
+            yield pa.RecordBatch.from_arrays([gone.column(x) for x in names], names=names)
             batch = batch.filter(pa.array(live))
         if batch.num_rows:
-            parts.append(batch.select([2, 3, 4, 5]))
+            parts.append(batch.select(["key", "salt", "lead", "bits", "body"]))
             named.append(_named(batch, gram_of(length)))
     if not parts:
         return
     table = pa.Table.from_batches(parts)
     gram, mark = (np.concatenate(x) for x in zip(*named, strict=True))
-    key, lead, bit = (table.column(c).to_numpy() for c in ("key", "lead", "bits"))
+    key, salt, lead, bit = (table.column(c).to_numpy() for c in ("key", "salt", "lead", "bits"))
     order = np.lexsort((key, mark, gram))
     new = np.concatenate(([True], (mark[order][1:] != mark[order][:-1]) | (gram[order][1:] != gram[order][:-1])))
     lone = order[new]
@@ -448,7 +451,7 @@ def _judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     hit = np.flatnonzero(remove)
     for a in range(0, len(hit), 50_000):
         at = hit[a : a + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(mark[at].view(np.int64)), pa.array(remove[at])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(salt[at]), pa.array(mark[at].view(np.int64)), pa.array(remove[at])], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -489,32 +492,40 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     A byte goes if a string of so many bytes over it also starts in a row of a lesser key; spans are
     maximal runs. Null texts are empty. Null keys are greater than all others; rows of one key never
-    remove each other, and keep spans of their own where their texts differ. Other columns are
+    remove each other, and keep spans of their own where their texts differ. An empty table gives
+    none. A very long text is one task's work at a time, some 60 bytes of memory for each of its own. Other columns are
     dropped, so none can clash. length is 8 to 60.
+
+    Rows are told apart by key and a 32-bit salt of the text's SHA-256: what is removed depends on the
+    key and the string alone, so rows of one key whose salts are equal get the same answers rightly.
     """
     need(df, key, text)
     if not 8 <= length <= 60:  # a context's strings are bits of an int
         raise ValueError("length is 8 to 60")
-    p = partitions(df.sparkSession)
-    buckets = min(4 * p, 1 << 16)
     src = df.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    named = src.withColumn("id", F.unhex(F.md5("text")))
-    base = written(named.select("key", "id", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("whole")))
-    earliest = base.groupBy("id").agg(F.min("key").alias("least"))
-    base = base.join(earliest, "id")
-
-    packs = src.mapInArrow(lambda x: _packed(x, length, buckets), "bucket int, shared boolean, pack binary")
-    shared = packs.repartition(p, "bucket").mapInArrow(_held_twice, "key long, grams binary").groupBy("key").agg(F.collect_list("grams").alias("grams"))
-    firsts = base.where("key = least").select("key", "id").distinct()
-    wanted = shared.join(firsts, "key")
-    held = written_by(named.join(wanted.withColumnRenamed("id", "own"), "key").where("id = own").select("key", "id", "text", "grams"), "key")
-
-    contexts = held.mapInArrow(lambda x: _context_rows(x, length, buckets), CONTEXT)
-    spread = contexts.repartition(p, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod("mark", F.lit(buckets)).cast("int")))
+    salt, rid = F.hash("id"), F.greatest(F.xxhash64("key", "salt"), F.lit(int(SEVERAL) + 1))
+    named = src.withColumn("id", F.unhex(F.sha2("text", 256))).withColumn("salt", salt).withColumn("rid", rid)
+    base = written(named.select("key", "id", F.octet_length("text").cast("long").alias("n")))
+    copies = written(base.groupBy("id").agg(F.min("key").alias("first"), F.count("*").alias("c"), F.count_distinct("key").alias("keys")).where("c > 1").select("id", "first", "c", "keys"))
+    base = base.join(copies.select("id", "first"), "id", "left").select("key", "id", "n", F.coalesce("first", "key").alias("least"))
+    p = partitions(df.sparkSession, base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    buckets = 4 * p
+    if not copies.where("c > keys").isEmpty():  # rows that repeat whole are read once
+        same = copies.where("c > keys").select("id")
+        repeated = named.join(same, "id", "left_semi").groupBy("key", "id", "salt", "rid").agg(F.first("text").alias("text"))
+        named = named.join(same, "id", "left_anti").select("key", "id", "salt", "rid", "text").unionByName(repeated)
+
+    packs = named.select("rid", "text").mapInArrow(lambda x: _packed(x, length, buckets), "bucket int, shared boolean, pack binary")
+    shared = packs.repartition(p, "bucket").mapInArrow(_held_twice, "rid long, grams binary").groupBy("rid").agg(F.collect_list("grams").alias("grams"))
+    firsts = base.where("key = least").select("key", F.col("id").alias("own")).distinct().select("own", "key", F.hash("own").alias("salt")).select("own", rid.alias("rid"))
+    held = written_by(named.join(shared.join(firsts, "rid"), "rid").where("id = own").select("key", "salt", "rid", "id", "text", "grams"), "rid", p)
+
+    contexts = held.select("key", "salt", "text", "grams").mapInArrow(lambda x: _context_rows(x, length, buckets), CONTEXT)
+    # settled contexts only pass through, so they go by their row and not by a context that many rows share
+    spread = contexts.repartition(p, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("key", "salt"), F.lit(buckets)).cast("int")))
     found = spread.mapInArrow(lambda x: _judged(x, length), FOUND)
-    told = found.groupBy("key").agg(F.collect_list("mark").alias("marks"), F.collect_list("bits").alias("bits"))
-    cut = held.join(told, "key").select("key", "id", "text", "grams", "marks", "bits").mapInArrow(lambda x: _cut(x, length), "key long, id binary, spans array<struct<start:int,end:int>>, kept_sha256 string")
-    cut = cut.groupBy("key", "id").agg(F.first("spans").alias("spans"), F.first("kept_sha256").alias("kept_sha256"))
+    told = found.groupBy(rid.alias("rid"), F.col("key").alias("at"), F.col("salt").alias("by")).agg(F.collect_list("mark").alias("marks"), F.collect_list("bits").alias("bits"))
+    cut = held.join(told, "rid").where("key = at and salt = by").select("key", "id", "text", "grams", "marks", "bits").mapInArrow(lambda x: _cut(x, length), "key long, id binary, spans array<struct<start:int,end:int>>, kept_sha256 string")
 
     full = base.join(cut, ["key", "id"], "left")
     copy = (F.col("key") > F.col("least")) & (F.col("n") >= length)
@@ -523,5 +534,5 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
         F.when(F.col("key") != 2**63 - 1, F.col("key")).alias(key),
         F.col("n").alias("n_bytes"),
         F.when(copy, whole).when(F.col("spans").isNotNull(), F.col("spans")).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).when(F.col("spans").isNotNull(), F.col("kept_sha256")).otherwise(F.lower(F.hex("whole"))).alias("kept_sha256"),
+        F.when(copy, F.sha2(F.lit(""), 256)).when(F.col("spans").isNotNull(), F.col("kept_sha256")).otherwise(F.lower(F.hex("id"))).alias("kept_sha256"),
     )

@@ -639,7 +639,7 @@ def test_cut_shards_give_what_one_gives(monkeypatch):
     for b in suffix_dedup._held_twice(iter(pa.Table.from_batches(packs).to_batches())):
         for k, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
             held.setdefault(k, []).append(g)
-    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts], pa.int64()), pa.array([b"x"] * 30, pa.binary()), data, pa.array([held.get(k, []) for k, _ in texts], pa.list_(pa.binary()))], names=["key", "id", "text", "grams"])
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts], pa.int64()), pa.array([0] * 30, pa.int32()), data, pa.array([held.get(k, []) for k, _ in texts], pa.list_(pa.binary()))], names=["key", "salt", "text", "grams"])
     contexts = pa.Table.from_batches(list(suffix_dedup._context_rows(iter([batch]), 50, 1))).combine_chunks()
 
     def judged():
@@ -650,6 +650,32 @@ def test_cut_shards_give_what_one_gives(monkeypatch):
     assert judged() == whole and whole
 
 
+def test_cut_of_many_null_and_repeated_keys(spark):
+    """A thousand rows without a key, and as many of one key, that share a passage: each has its own answer, and rows that repeat whole are read once."""
+    passage = BASE[2][:80]
+    rows = [(None, f"{prose(4)} {i} {passage} {prose(3)}") for i in range(1000)] + [(7, f"{i} {prose(3)} {passage} {i}") for i in range(1000)]
+    rows += [(3, passage)] * 400 + [(9, BASE[1] + passage)] * 300 + [(1, "x" + passage[5:70])]
+    began = time.time()
+    got = [(r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], r["kept_sha256"]) for r in suffix_dedup.repeats(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_cut(rows), key=repr)
+    print(time.time() - began)
+
+
+def test_contexts_are_judged_once_a_task(spark):
+    """A passage in very many rows: a task sends its contexts once, and the rows that follow as settled."""
+    import pyarrow as pa
+
+    passage = BASE[2][:120]
+    texts = [passage for _ in range(3000)]
+    packs = suffix_dedup._packed(iter([pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array(texts[:2])], names=["rid", "text"])]), 50, 1)
+    grams = list(suffix_dedup._held_twice(iter(list(packs))))
+    own = [g.column(1)[0].as_py() for g in grams]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([i], pa.int32()), pa.array([texts[i]]), pa.array([own], pa.list_(pa.binary()))], names=["key", "salt", "text", "grams"]) for i in range(3000)]
+    made = pa.Table.from_batches(list(suffix_dedup._context_rows(iter(batches), 50, 4))).to_pandas()
+    live = made[made.bucket >= 0]
+    assert len(live) and set(live.key) == {0} and len(made) == 3000 * len(live)
+
+
 @given(st.lists(st.binary(min_size=1, max_size=20).map(lambda b: bytes(c % 3 for c in b)), min_size=1, max_size=6))
 @settings(max_examples=80, deadline=None)
 def test_suffix_array_and_prefixes(pieces):
