@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, hashing
-from .common import need, partitions, written
+from .common import forget, need, partitions, written
 
 U = np.uint64
 #: Groups that make the tree's points, and the least and most that make a set's fine point, which has one for every four shingles.
@@ -240,23 +240,30 @@ def _loaded(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(run, "sid long, check long, n long, own binary, fine binary, point binary")
 
 
-def _node() -> Column:
-    """A set as a node of the graph: both halves of its id."""
-    return F.struct("sid", "check")
+def _named(sets: DataFrame) -> tuple[DataFrame, Column]:
+    """id, sid, check, n of the sets (sid, check, n), and the id as a column of (sid, check): a number that no two of them share.
+
+    That is the id's first half, unless two of the sets have the same; then it is drawn anew from both halves until none do.
+    """
+    names = written(sets.select("sid", "check", "n").distinct())
+    name, seed = F.col("sid"), 0
+    while not names.groupBy(name.alias("id")).count().where("count > 1").isEmpty():
+        seed += 1
+        name = F.xxhash64(F.lit(seed), "sid", "check")
+    return written(names.select(name.alias("id"), "sid", "check", "n")), name
 
 
 def _judged(pairs: DataFrame, sets: DataFrame, column: str, keep) -> DataFrame:
     """The pairs (a, b) whose sets' column, as bytes, keep allows; only that column is moved."""
-    left = sets.select(_node().alias("a"), F.col(column).alias("x"))
-    right = sets.select(_node().alias("b"), F.col(column).alias("y"))
-    node = "struct<sid:bigint,check:bigint>"
+    left = sets.select(F.col("id").alias("a"), F.col(column).alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col(column).alias("y"))
 
     def run(batches):
         for batch in batches:
             buffers = [[v.as_buffer() for v in batch.column(c)] for c in (2, 3)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep(*buffers), pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {node}, b {node}")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -270,21 +277,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return _judged(pairs, sets, "own", lambda x, y: [linked(whole(p), whole(q), num, den) for p, q in zip(x, y, strict=True)])
 
 
-def _tiles(rest: DataFrame) -> DataFrame:
-    """rest (pivot, ...) with tile and tiles: a neighbourhood's members dealt by hash into as many tiles as TILE of them need, without gathering them."""
-    size = rest.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    return rest.join(size, "pivot").withColumn("tile", F.pmod(F.xxhash64("sid", "check"), F.col("tiles")).cast("int"))
-
-
 def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b), a < b, of different labels that an R-tree leaves of each tile pair of a neighbourhood.
 
-    rest: pivot, sid, check, label, point. Each pair of tiles is one group, so a neighbourhood of any size is spread
-    over tasks that hold two tiles at most. A label is given as its 64-bit hash.
+    rest: pivot, tiles, id, label, point. Members are dealt into tiles by hash; each pair of tiles is one group, so a
+    neighbourhood of any size is spread over tasks that hold two tiles at most, and nothing gathers it.
     """
-    tiled = _tiles(rest)
-    dealt = tiled.select("pivot", "sid", "check", F.xxhash64("label").alias("label"), "point", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
-    dealt = dealt.select("pivot", F.least("tile", "t").alias("i"), F.greatest("tile", "t").alias("j"), "tile", "sid", "check", "label", "point")
+    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    dealt = rest.select("pivot", "id", "label", "point", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    dealt = dealt.select("pivot", F.least("tile", "t").alias("i"), F.greatest("tile", "t").alias("j"), "tile", "id", "label", "point")
 
     def pairs(tile, label, points):
         low = tile == tile.min()
@@ -301,16 +302,14 @@ def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
 
     def emit(group: pa.Table):
         group = group.combine_chunks()
-        tile, sid, check, label = (group.column(c).to_numpy() for c in (3, 4, 5, 6))
+        tile, name, label = (group.column(c).to_numpy() for c in (3, 4, 5))
         if len(tile) < 2 or (label == label[0]).all():
             return
-        points = np.stack([unpacked(v.as_buffer()) for v in group.column(7)])
+        points = np.stack([unpacked(v.as_buffer()) for v in group.column(6)])
         for p, q in pairs(tile, label, points):
-            swap = (sid[p] > sid[q]) | ((sid[p] == sid[q]) & (check[p] > check[q]))
-            a, b = np.where(swap, q, p), np.where(swap, p, q)
-            at = np.unique(np.stack((a, b), axis=1), axis=0)
-            ends = [pa.StructArray.from_arrays([pa.array(sid[x]), pa.array(check[x])], names=["sid", "check"]) for x in at.T]
-            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+            a, b = name[p], name[q]
+            found = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     def run(batches):
         at, held = None, []
@@ -327,9 +326,8 @@ def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield from emit(pa.Table.from_batches(held))
 
-    node = "struct<sid:bigint,check:bigint>"
     spread = dealt.repartition(partitions(rest.sparkSession), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return spread.mapInArrow(run, f"a {node}, b {node}").distinct()
+    return spread.mapInArrow(run, "a long, b long").distinct()
 
 
 
@@ -354,34 +352,34 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     block = Window.partitionBy("block")
     dealt = _dealt(src, words, num, den).select("*", F.min("sid").over(block).alias("x"), F.max("sid").over(block).alias("y"), F.lag("sid").over(block.orderBy("sid")).alias("before"))
     shared = written(dealt.where("x <> y and not (before <=> sid)").select("block", "sid"))
-    met = shared.join(shared.groupBy("sid").agg(F.count("*").alias("degree")), "sid")
-    pivots = met.groupBy("block").agg(F.max(F.struct("degree", "sid"))["sid"].alias("pivot"))
+    degree = written(shared.groupBy("sid").agg(F.count("*").alias("degree")))
+    pivots = written(shared.join(degree, "sid").groupBy("block").agg(F.max(F.struct("degree", "sid"))["sid"].alias("pivot")))
     stars = shared.join(pivots, "block").where("sid <> pivot").select("pivot", "sid").distinct()
 
-    # one row of each set that shares a block is loaded, found again by a digest of its key and text
-    alone = shared.select("sid").distinct()
-    wanted = written(alone.join(sized.where("n > 0"), "sid").groupBy(*node).agg(F.min("h").alias("h")).select("h").distinct())
-    sets = written(_loaded(src.join(wanted, "h", "left_semi"), words))
+    # one row of each set that shares a block is loaded, found again by a digest of its key and text; the join is the same at every size
+    wanted = written(degree.join(sized.where("n > 0"), "sid").groupBy(*node).agg(F.min("h").alias("h")).select("h").distinct())
+    loaded = written(_loaded(src.join(wanted.hint("merge"), "h", "left_semi"), words))
+    names, name = _named(loaded)
+    sets = loaded.withColumn("id", name)
 
-    names = sets.select("sid", "check", "n").distinct()
-    ends = [names.select(F.col("sid").alias(x), _node().alias(y), F.col("n").alias(f"n_{y}")) for x, y in (("pivot", "a"), ("sid", "b"))]
-    around = written(stars.join(ends[1], "sid").join(ends[0], "pivot").select("pivot", "a", "n_a", "b", "n_b"))
-    near = around.where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}").select("a", "b").distinct()
-    links = written(_verified(_bounded(near, sets, num, den), sets, num, den).distinct())
+    ends = [names.select(F.col("sid").alias(x), F.col("id").alias(y), F.col("n").alias(f"n_{y}")) for x, y in (("pivot", "a"), ("sid", "b"))]
+    around = written(stars.join(ends[1], "sid").join(ends[0], "pivot").select("pivot", "a", "b", F.expr(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}").alias("near")))
+    forget(shared, degree, pivots, wanted)
+    links = written(_verified(_bounded(around.where("near").select("a", "b").distinct(), sets, num, den), sets, num, den).distinct())
     root = graph.components(links)
 
-    labelled = around.select("pivot", "b").distinct().join(root.withColumnRenamed("node", "b"), "b", "left").select("pivot", "b", F.coalesce("root", "b").alias("label"))
-    several = labelled.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("pivot")
-    rest = written(labelled.join(several, "pivot", "left_semi").select("pivot", "b.sid", "b.check", "label"))
-    if not rest.isEmpty():
-        points = sets.groupBy(*node).agg(F.first("point").alias("point"))
-        more = written(_verified(_bounded(_tree_pairs(rest.join(points, node), num, den), sets, num, den), sets, num, den).distinct())
+    labelled = written(around.select("pivot", F.col("b").alias("id")).distinct().join(root.withColumnRenamed("node", "id"), "id", "left").select("pivot", "id", F.coalesce("root", "id").alias("label")))
+    several = written(labelled.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("x <> y").select("pivot", "tiles"))
+    if not several.isEmpty():
+        rest = labelled.join(several, "pivot").join(sets.groupBy("id").agg(F.first("point").alias("point")), "id")
+        more = written(_verified(_bounded(_tree_pairs(rest, num, den), sets, num, den), sets, num, den).distinct())
         root = graph.components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     least = sized.where("n > 0").groupBy(*node).agg(F.min("key").alias("least"))
-    named = least.join(root.select("node.sid", "node.check", F.col("root").alias("label")), node, "left").select(*node, F.coalesce("label", _node()).alias("label"), "least")
-    of = named.groupBy("label").agg(F.min("least").alias("component"))
+    named = least.join(root.withColumnRenamed("node", "id").join(names, "id").select(*node, "root"), node, "left")
+    of = written(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component")))
     # written, so that a set or component of very many rows is a skewed join that Spark splits
-    component = written(named.select(*node, "label").join(written(of), "label").select(*node, "component"))
+    component = written(named.join(of, "root", "left").select(*node, F.coalesce("component", "least").alias("component")))
+    forget(loaded, around, links, labelled, several, names, of)
     full = sized.join(component, node, "left")
     return full.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
