@@ -3,8 +3,11 @@
 The vocabulary is a file of ranks, named by a parameter. Each match of the split pattern is encoded
 on its own by the tokenizers library, whose byte-level alphabet maps every byte to one printable
 character; a piece that has been met before is looked up instead, for natural text repeats its words.
-Offsets count bytes of the UTF-8 text. Decoding reverses the byte table; a token may hold part of a
-character, so the bytes are the exact result and the text replaces what is no whole character.
+Offsets count bytes of the UTF-8 text and, by the bytes that begin a character, characters. Decoding
+reverses the byte table; a token may hold part of a character, so the bytes are the exact result and
+the text replaces what is no whole character.
+
+A text is encoded whole, so a very long one needs some 100 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from .common import need
 
-#: Pieces remembered by one Python worker; the table is emptied when it is full.
-PIECES = 120_000
+#: Pieces remembered by one Python worker, and the characters that such a piece has at most; the table is emptied when it is full.
+PIECES, SHORT = 120_000, 32
 
 
 def byte_characters() -> dict[int, str]:
@@ -72,15 +75,24 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for text in texts:
             pieces = self.split(text)
-            seen = self.seen
+            seen, long = self.seen, {}
             new = [p for p in dict.fromkeys(pieces) if p not in seen]
             if new:
                 if len(seen) + len(new) > PIECES:
                     seen.clear()
                     new = list(dict.fromkeys(pieces))
                 for piece, got in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-                    seen[piece] = tuple(got.ids)
-            yield [i for p in pieces for i in seen[p]]
+                    (seen if len(piece) <= SHORT else long)[piece] = tuple(got.ids)
+            yield [i for p in pieces for i in (long.get(p) or seen[p])] if long else [i for p in pieces for i in seen[p]]
+            if len(seen) > PIECES:
+                seen.clear()
+
+    def starts(self, ids: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the byte where it begins, and the character that it begins or, as part of one, lies in."""
+        sizes = self.length_of[ids]
+        at = np.cumsum(sizes) - sizes
+        first = np.frombuffer(body, dtype=np.uint8) & 0xC0 != 0x80
+        return at, (np.cumsum(first)[at] - 1 if len(at) else at)
 
     def decode(self, ids: np.ndarray) -> bytes:
         table = self.bytes_of
@@ -115,25 +127,31 @@ def _list(values: list, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype()), type=kind))
 
 
-def encode(df: DataFrame, key: str, path: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
-    """key, ids array<int>, and with offsets starts array<int>: the byte where each token begins.
+def encode(df: DataFrame, key: str, path: str, pattern: str, text: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """key, ids array<int>; with offsets starts and chars, array<int>: the byte where each token begins, and the character; with decoded bytes: those that the ids decode to.
 
+    decoded spares a second pass over the ids, and its workers, where both directions are wanted.
     Null and empty texts have no tokens. The file must be readable under this path on every executor,
     as an installed package's files are. Special tokens' strings in a text are ordinary text. Rows
     are independent, so repeated rows repeat; other columns are dropped, so none can clash.
     """
     need(df, key, text)
     src = df.select(key, text)
-    schema = f"`{key}` {src.schema[key].dataType.simpleString()}, ids array<int>" + ", starts array<int>" * offsets
+    schema = f"`{key}` {src.schema[key].dataType.simpleString()}, ids array<int>" + ", starts array<int>, chars array<int>" * offsets + ", bytes binary" * decoded
+    names = [key, "ids", *["starts", "chars"] * offsets, *["bytes"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in _slices(batches, 1):
-            ids = [np.array(x, dtype=np.int32) for x in own.encode([t or "" for t in batch.column(1).to_pylist()])]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = [np.array(x, dtype=np.int32) for x in own.encode(texts)]
             columns = [batch.column(0), _list(ids, pa.int32())]
             if offsets:
-                columns.append(_list([np.cumsum(own.length_of[x]) - own.length_of[x] for x in ids], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "starts"][: len(columns)])
+                found = [own.starts(x, t.encode()) for x, t in zip(ids, texts, strict=True)]
+                columns += [_list([x[i] for x in found], pa.int32()) for i in (0, 1)]
+            if decoded:
+                columns.append(pa.array([own.decode(x) for x in ids], type=pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return src.mapInArrow(run, schema)
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of input for each partition of a shuffle whose tasks hold what they read; more partitions than are set are used where the input needs them.
 PART = 64 << 20
+#: Bytes of a table that is broadcast at most.
+BROADCAST = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +57,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def side(table: DataFrame, row: int) -> DataFrame:
+    """A written table of row bytes a row as the smaller side of a join: broadcast if it is small enough, else merged, whatever Spark estimates."""
+    return F.broadcast(table) if table.count() * row <= BROADCAST else table.hint("merge")
+
+
 def partitions(spark: SparkSession, size: int = 0) -> int:
     """spark.sql.shuffle.partitions, or as many as size bytes of input need."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))

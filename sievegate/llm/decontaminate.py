@@ -12,11 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, need, written
-
-#: Sketch rows that are broadcast; a larger benchmark is joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
+from .common import BROADCAST, let, need, written
 
 def words(text: Column) -> Column:
     """Runs of letters and digits in lower case; a null text has none."""
@@ -42,7 +38,8 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "it
 
     An item of fewer words than size is one shingle of its words; an item without words, or a null
     text, is in no document. Repeated keys are judged row by row and give the best; null keys are one
-    key. Equal items are found under each of their ids. Other columns are dropped, so none can clash.
+    key. Equal items are found under each of their ids; an empty table on either side finds nothing. A
+    text costs in proportion to its length, and to the items' number of lengths below size. Other columns are dropped, so none can clash.
     """
     need(docs, key, text)
     need(items, item, text)
@@ -57,8 +54,11 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "it
     top = F.pow(F.lit(2.0), F.floor(F.log2(F.size("shingles"))) + 1).cast("int") - 1
     sketch_length = F.floor(top * (den - num) / den).cast("int") + 1
     table = written(table.withColumn("n", F.size("shingles")).withColumn("sketch", F.slice("h", 1, F.least(sketch_length, F.size("h")))).drop("h"))
+    bytes_of = lambda *x: F.coalesce(F.sum(sum(x)), F.lit(0))
+    name = F.octet_length(F.col("item").cast("string"))
+    moved = table.agg(bytes_of(F.size("sketch") * (name + 32)).alias("sketch"), bytes_of(name, F.octet_length(F.array_join("shingles", "")), F.size("shingles") * 16).alias("shingles")).first()
     sketch = table.select("item", F.explode("sketch").alias("h"))
-    if sketch.count() <= BROADCAST_ROWS:
+    if moved["sketch"] <= BROADCAST:
         sketch = F.broadcast(sketch)
 
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -67,7 +67,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "it
     candidates = written(met.select("key", "item").distinct())
 
     shingled = table.select("item", "k", "n", "shingles")
-    if shingled.count() <= BROADCAST_ROWS // 100:
+    if moved["shingles"] <= BROADCAST:
         shingled = F.broadcast(shingled)
     keys = candidates.select(F.col("key").alias("held")).distinct()
     texts = src.join(keys, F.col("key").eqNullSafe(F.col("held")), "left_semi")

@@ -140,7 +140,12 @@ class Profiles:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
-    """Prototypes of all rows with a language; each task bundles what it reads, so it sends one vector a language."""
+    """Prototypes of all rows with a language; each task bundles what it reads, so it sends one vector a language.
+
+    Rows with a null text or language teach nothing, nor does a language whose texts have no letter; an
+    empty table gives no language. Repeated rows count each time; other columns are dropped. A text's trigrams are
+    counted first, so a very long one costs little more than its letters.
+    """
     need(docs, text, lang)
     src = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text)
 
@@ -196,9 +201,14 @@ def floors(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang_pred", score: str = "score", floor: list[float] | None = None) -> DataFrame:
-    """docs with two more columns, which replace any of those names; null texts are unknown, repeated rows repeat. floor: as of floors."""
+    """docs with two more columns, whose names must be new; null texts are unknown, repeated rows repeat. floor: as of floors.
+
+    Of equally near languages the first by name is taken. An empty table stays empty.
+    """
     need(docs, text)
-    src = docs.drop(lang, score)
+    if taken := {lang, score} & set(docs.columns):
+        raise ValueError(f"columns that are there already: {', '.join(sorted(taken))}")
+    src = docs
     names = src.columns
     at = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)

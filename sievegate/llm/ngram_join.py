@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, hashing
-from .common import forget, need, partitions, written
+from .common import forget, need, partitions, side, written
 
 U = np.uint64
 #: Groups that make the tree's points, and the least and most that make a set's fine point, which has one for every four shingles.
@@ -356,9 +356,9 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     pivots = written(shared.join(degree, "sid").groupBy("block").agg(F.max(F.struct("degree", "sid"))["sid"].alias("pivot")))
     stars = shared.join(pivots, "block").where("sid <> pivot").select("pivot", "sid").distinct()
 
-    # one row of each set that shares a block is loaded, found again by a digest of its key and text; the join is the same at every size
+    # one row of each set that shares a block is loaded, found again by a digest of its key and text
     wanted = written(degree.join(sized.where("n > 0"), "sid").groupBy(*node).agg(F.min("h").alias("h")).select("h").distinct())
-    loaded = written(_loaded(src.join(wanted.hint("merge"), "h", "left_semi"), words))
+    loaded = written(_loaded(src.join(side(wanted, 16), "h", "left_semi"), words))
     names, name = _named(loaded)
     sets = loaded.withColumn("id", name)
 

@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import need
+from .common import forget, need, written
 
 U = np.uint64
 BITS = 18
-#: Bound of the labelled rows that are learned from: those of the smallest key hashes. All texts are scored whole.
-ROWS = 8000
+#: Bounds of the labelled rows that are learned from, those of the smallest key hashes, and of their features in all. All texts are scored whole.
+ROWS, FEATURES = 8000, 8_000_000
 #: FTRL-proximal step, smoothing, L1 and L2; passes over the rows; weight of a share.
 ALPHA, BETA, L1, L2, PASSES, SCALE = 0.3, 1.0, 0.02, 0.1, 4, 8.0
 
@@ -97,11 +97,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     return Model(w[:-1], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = ROWS) -> Model:
-    """A model from the labelled rows (0 or 1; others are left out), rows of them at most.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = ROWS, most: int = FEATURES) -> Model:
+    """A model from the labelled rows (0 or 1; others are left out), rows of them at most, with most features at most.
 
-    Features are made on the executors; the driver gets the bounded rows' sparse vectors and runs the
-    updates in the order of the key's hash, so the model doesn't depend on partitions. Without labelled rows every score is 0.5.
+    Features are made on the executors, from whole texts; the driver gets the bounded rows' sparse vectors
+    and runs the updates in the order of the key's hash, so the model doesn't depend on partitions. A
+    key with several labels has the least, and one with several rows the row of the least vector; null keys and labels
+    are left out, other columns are dropped. Without labelled rows, as with an empty table, every score is 0.5.
     """
     need(docs, key, text)
     need(labels, key, label)
@@ -119,8 +121,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     names=["order", "label", "index", "share"],
                 )
 
-    got = held.mapInArrow(run, "order long, label int, index binary, share binary").collect()
-    got.sort(key=lambda r: (r["order"], bytes(r["index"])))
+    made = held.mapInArrow(run, "order long, label int, index binary, share binary")
+    table = written(made.groupBy("order", "label").agg(F.min(F.struct("index", "share")).alias("x")).select("order", "label", "x.*"))
+    sizes = table.select("order", F.octet_length("index") / 4).orderBy("order").collect()
+    kept = int(np.searchsorted(np.cumsum([n for _, n in sizes]), most, side="right"))
+    got = table.where(F.col("order") <= sizes[kept - 1][0]).collect() if kept else []
+    got.sort(key=lambda r: (r["order"], r["label"], bytes(r["index"])))
+    forget(table)
     return fit([(np.frombuffer(r["index"], dtype=np.int32).astype(np.int64), np.frombuffer(r["share"], dtype=np.float32).astype(float), r["label"]) for r in got])
 
 
