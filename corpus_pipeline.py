@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegate.llm import bpe, decontaminate, langid, ngram_join, pii_spans
-from sievegate.llm.common import written
+from sievegate.llm.common import forget, side, written
 
 #: Language identification can't be written in SQL, so run()'s rows can't either; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
+def _new(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter that are not unlike every language, as far as their length lets that be told.
 
@@ -28,8 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.train(docs)
     if not profiles.names:
         return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
-    told = langid.predict(docs, profiles, lang="__lang", score="__like", floor=langid.floors(docs, profiles))
-    return told.where(F.col("__lang") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    found, like = _new(docs, "lang"), _new(docs, "like")
+    told = langid.predict(docs, profiles, lang=found, score=like, floor=langid.floors(docs, profiles))
+    return told.where(F.col(found) != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", found)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,23 +49,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t-\r]")
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("text"))
-    rows = docs.where(~bare).withColumn("__row", row)
-    groups = ngram_join.near_groups(rows, key="__row", words=5, num=80, den=100)
+    key = _new(docs, "row")
+    rows = docs.where(~bare).withColumn(key, row)
+    groups = ngram_join.near_groups(rows.select(key, "text"), key=key, words=5, num=80, den=100).withColumnRenamed(key, "at")
     # the texts are joined with the few keys that go or come more than once, so others needn't be moved
-    marks = groups.groupBy("__row").agg(F.max(F.col("__row") != F.col("component_id")).alias("__goes"), F.count("*").alias("__n")).where("__goes or __n > 1")
-    marks = written(marks.select("__row", "__goes"))
-    once = rows.join(marks.select("__row"), "__row", "left_anti")
-    same = Window.partitionBy("__row").orderBy("__row")
-    more = rows.join(marks.where("not __goes").select("__row"), "__row", "left_semi").withColumn("__at", F.row_number().over(same)).where("__at = 1")
+    marks = groups.groupBy("at").agg(F.max(F.col("at") != F.col("component_id")).alias("goes"), F.count("*").alias("n")).where("goes or n > 1")
+    marks = written(marks.select(F.col("at").alias(key), "goes"))
+    once = rows.join(side(marks.select(key), 64), key, "left_anti")
+    number = _new(docs, "number")
+    same = Window.partitionBy(key).orderBy(key)
+    more = rows.join(side(marks.where("not goes").select(key), 64), key, "left_semi").withColumn(number, F.row_number().over(same)).where(F.col(number) == 1)
     return once.select(*docs.columns).unionByName(more.select(*docs.columns)).unionByName(docs.where(bare).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold less than 0.8 of the word 5-shingles of every benchmark item. Each is judged by its own text, whatever its doc_id."""
-    rows = docs.withColumn("__text", F.md5("text"))
-    found = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__text")
-    held = found.select(F.col("__text").alias("__held")).distinct()
-    return rows.join(held, F.col("__text") == F.col("__held"), "left_anti").select(*docs.columns)
+    key = _new(docs, "digest")
+    rows = docs.withColumn(key, F.unhex(F.sha2("text", 256)))
+    found = decontaminate.find(rows.select(key, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=key)
+    held = written(found.select(key).distinct())
+    return rows.join(side(held, 64), key, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +79,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256 (of the bytes that the ids decode to) of all documents."""
     path, pattern = bpe.vocabulary()
-    ids = bpe.encode(docs, "doc_id", path, pattern, offsets=False)
-    back = bpe.decode(ids, "doc_id", path, pattern)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    made = bpe.encode(docs, "doc_id", path, pattern, offsets=False, decoded=True)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -83,8 +93,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for documents; each stage before it is written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for documents; each stage before it is written to the shared folder and reread, and then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
