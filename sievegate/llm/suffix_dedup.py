@@ -506,26 +506,27 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     salt, rid = F.hash("id"), F.greatest(F.xxhash64("key", "salt"), F.lit(int(SEVERAL) + 1))
     named = src.withColumn("id", F.unhex(F.sha2("text", 256))).withColumn("salt", salt).withColumn("rid", rid)
     base = written(named.select("key", "id", F.octet_length("text").cast("long").alias("n")))
-    copies = written(base.groupBy("id").agg(F.min("key").alias("first"), F.count("*").alias("c"), F.count_distinct("key").alias("keys")).where("c > 1").select("id", "first", "c", "keys"))
-    base = base.join(copies.select("id", "first"), "id", "left").select("key", "id", "n", F.coalesce("first", "key").alias("least"))
+    copies = written(base.groupBy("id").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1").select("id", "first"))
+    same = written(base.groupBy("key", "id").agg(F.count("*").alias("c")).where("c > 1").select("id").distinct())
+    base = base.join(copies, "id", "left").select("key", "id", "n", F.coalesce("first", "key").alias("least"))
     p = partitions(df.sparkSession, base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     buckets = 4 * p
-    if not copies.where("c > keys").isEmpty():  # rows that repeat whole are read once
-        same = copies.where("c > keys").select("id")
+    if not same.isEmpty():  # rows that repeat whole are read once
         repeated = named.join(same, "id", "left_semi").groupBy("key", "id", "salt", "rid").agg(F.first("text").alias("text"))
         named = named.join(same, "id", "left_anti").select("key", "id", "salt", "rid", "text").unionByName(repeated)
 
     packs = named.select("rid", "text").mapInArrow(lambda x: _packed(x, length, buckets), "bucket int, shared boolean, pack binary")
     shared = packs.repartition(p, "bucket").mapInArrow(_held_twice, "rid long, grams binary").groupBy("rid").agg(F.collect_list("grams").alias("grams"))
-    firsts = base.where("key = least").select("key", F.col("id").alias("own")).distinct().select("own", "key", F.hash("own").alias("salt")).select("own", rid.alias("rid"))
-    held = written_by(named.join(shared.join(firsts, "rid"), "rid").where("id = own").select("key", "salt", "rid", "id", "text", "grams"), "rid", p)
+    firsts = base.where("key = least").select("key", salt.alias("salt")).select(rid.alias("rid")).distinct()
+    held = written_by(named.join(shared.join(firsts, "rid"), "rid").select("key", "salt", "rid", "id", "text", "grams"), "rid", p)
 
     contexts = held.select("key", "salt", "text", "grams").mapInArrow(lambda x: _context_rows(x, length, buckets), CONTEXT)
     # settled contexts only pass through, so they go by their row and not by a context that many rows share
     spread = contexts.repartition(p, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("key", "salt"), F.lit(buckets)).cast("int")))
     found = spread.mapInArrow(lambda x: _judged(x, length), FOUND)
-    told = found.groupBy(rid.alias("rid"), F.col("key").alias("at"), F.col("salt").alias("by")).agg(F.collect_list("mark").alias("marks"), F.collect_list("bits").alias("bits"))
-    cut = held.join(told, "rid").where("key = at and salt = by").select("key", "id", "text", "grams", "marks", "bits").mapInArrow(lambda x: _cut(x, length), "key long, id binary, spans array<struct<start:int,end:int>>, kept_sha256 string")
+    told = found.groupBy(rid.alias("rid")).agg(F.collect_list(F.struct("key", "salt", "mark", "bits")).alias("told"))
+    mine = F.filter("told", lambda x: (x["key"] == F.col("key")) & (x["salt"] == F.col("salt")))  # rids may be equal by chance
+    cut = held.join(told, "rid").withColumn("told", mine).where(F.size("told") > 0).select("key", "id", "text", "grams", "told.mark", "told.bits").mapInArrow(lambda x: _cut(x, length), "key long, id binary, spans array<struct<start:int,end:int>>, kept_sha256 string")
 
     full = base.join(cut, ["key", "id"], "left")
     copy = (F.col("key") > F.col("least")) & (F.col("n") >= length)
