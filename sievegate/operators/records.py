@@ -21,22 +21,18 @@ class Schema:
     signatures: tuple[frozenset[str], ...]
 
 
-def _s(*sets: str) -> tuple[frozenset[str], ...]:
-    return tuple(frozenset(x.split()) for x in sets)
-
-
 #: The eight kinds, in the order in which detection tries them.
 SCHEMAS = {
     s.name: s
     for s in (
-        Schema("rm_pairwise", (("prompt", "chosen", "rejected"),), _s("prompt chosen rejected")),
-        Schema("nl2sql", (("question", "sql", "schema"), ("question", "sql", "schema_ref")), _s("question sql schema", "question sql schema_ref", "question sql db_id")),
-        Schema("qa", (("question", "context", "answer"),), _s("question context answer", "passage question answer")),
-        Schema("chat", (("messages",),), _s("messages", "conversations")),
-        Schema("summarization", (("document", "summary"),), _s("document summary", "article highlights", "article summary")),
-        Schema("translation", (("source", "target"),), _s("source target source_lang", "source target target_lang", "src tgt")),
-        Schema("sft", (("input", "output"), ("question", "answer")), _s("input output", "instruction output", "instruction response", "prompt completion", "question answer")),
-        Schema("classification", (("text", "label"),), _s("text label", "body category", "input label", "sentence label", "text class")),
+        Schema("rm_pairwise", (("prompt", "chosen", "rejected"),), (frozenset({"prompt", "chosen", "rejected"}),)),
+        Schema("nl2sql", (("question", "sql", "schema"), ("question", "sql", "schema_ref")), (frozenset({"question", "sql", "schema"}), frozenset({"question", "sql", "schema_ref"}), frozenset({"question", "sql", "db_id"}),)),
+        Schema("qa", (("question", "context", "answer"),), (frozenset({"question", "context", "answer"}), frozenset({"passage", "question", "answer"}),)),
+        Schema("chat", (("messages",),), (frozenset({"messages"}), frozenset({"conversations"}),)),
+        Schema("summarization", (("document", "summary"),), (frozenset({"document", "summary"}), frozenset({"article", "highlights"}), frozenset({"article", "summary"}),)),
+        Schema("translation", (("source", "target"),), (frozenset({"source", "target", "source_lang"}), frozenset({"source", "target", "target_lang"}), frozenset({"src", "tgt"}),)),
+        Schema("sft", (("input", "output"), ("question", "answer")), (frozenset({"input", "output"}), frozenset({"instruction", "output"}), frozenset({"instruction", "response"}), frozenset({"prompt", "completion"}), frozenset({"question", "answer"}),)),
+        Schema("classification", (("text", "label"),), (frozenset({"text", "label"}), frozenset({"body", "category"}), frozenset({"input", "label"}), frozenset({"sentence", "label"}), frozenset({"text", "class"}),)),
     )
 }
 
@@ -59,6 +55,81 @@ def has_required(df: DataFrame, schema: str) -> Column:
     return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [filled(c) for c in group]) for group in SCHEMAS[schema].required])
 
 
+def missing(df: DataFrame, schema: str) -> Column:
+    """Why a row lacks its kind's fields: the fields of each required group, joined by " OR "."""
+    return F.lit("missing required fields " + " OR ".join(", ".join(group) for group in SCHEMAS[schema].required))
+
+
+def row_schema(df: DataFrame) -> Column:
+    """The kind that a row's own filled fields give away, "unknown" without one; the first that fits, as for columns."""
+    have = {c.lower(): c for c in df.columns}
+    chain = None
+    for s in SCHEMAS.values():
+        for fields in s.signatures:
+            if fields <= have.keys():
+                fits = reduce(lambda a, b: a & b, [F.col(have[c]).isNotNull() for c in sorted(fields)])
+                chain = F.when(fits, s.name) if chain is None else chain.when(fits, s.name)
+    return F.lit("unknown") if chain is None else chain.otherwise("unknown")
+
+
+def votes(df: DataFrame) -> DataFrame:
+    """schema, rows: how many rows vote for each kind."""
+    return df.groupBy(row_schema(df).alias("schema")).agg(F.count("*").alias("rows"))
+
+
+def classified(df: DataFrame, text: Column, email: str, phone: str) -> DataFrame:
+    """One row: rows, schema (of most votes; ties go to the first name), duplicate_rate, email_rows, phone_rows, pii_rows, schemas (the other kinds), warnings.
+
+    Every row is scanned. warnings are empty, unknown_schema, duplicates (above 0.05), pii, mixed_schemas.
+    """
+    named = df.select(row_schema(df).alias("schema"), F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])), 256).alias("h"), text.alias("t"))
+    named = named.withColumns({"email": F.coalesce(F.col("t").rlike(email), F.lit(False)), "phone": F.coalesce(F.col("t").rlike(phone), F.lit(False))})
+    hit = lambda c: F.count(F.when(c, 1))
+    one = named.agg(F.count("*").alias("rows"), hit(F.col("email")).alias("email_rows"), hit(F.col("phone")).alias("phone_rows"), hit(F.col("email") | F.col("phone")).alias("pii_rows"))
+    copies = named.groupBy("h").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("copies"))
+    kinds = named.groupBy("schema").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "schema"))).alias("k"))
+    made = one.crossJoin(copies).crossJoin(kinds).withColumn("duplicate_rate", F.round(F.coalesce(F.expr("try_divide(copies, rows)"), F.lit(0.0)), 4))
+    made = made.withColumns({"schema": F.coalesce(F.get("k", F.lit(0))["schema"], F.lit("unknown")), "schemas": F.array_sort(F.transform(F.slice("k", 2, F.greatest(F.size("k"), F.lit(1))), lambda x: x["schema"]))})
+    told = {"empty": F.col("rows") == 0, "unknown_schema": (F.col("schema") == "unknown") & (F.col("rows") > 0), "duplicates": F.col("duplicate_rate") > 0.05, "pii": F.col("pii_rows") > 0, "mixed_schemas": F.size("schemas") > 0}
+    warnings = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in told.items()]), lambda x: x.isNotNull())
+    return made.select("rows", "schema", "duplicate_rate", "email_rows", "phone_rows", "pii_rows", "schemas", warnings.alias("warnings"))
+
+
+def tag_map(df: DataFrame, tags: str = "tags") -> Column:
+    """A row's own tags as map<string,string>: a map, a struct, or a string of JSON; anything else, and what can't be read, has none."""
+    none = F.create_map().cast("map<string,string>")
+    if tags not in df.columns:
+        return none
+    kind = df.schema[tags].dataType
+    if isinstance(kind, T.MapType):
+        own = F.col(tags).cast("map<string,string>")
+    elif isinstance(kind, T.StructType):
+        own = F.from_json(F.to_json(tags), "map<string,string>")
+    elif isinstance(kind, T.StringType):
+        own = F.when(F.col(tags).rlike(r"(?s)^\s*\{"), F.from_json(tags, "map<string,string>"))
+    else:
+        return none
+    return F.coalesce(own, none)
+
+
+def merged_tags(own: Column, added: dict[str, str]) -> Column:
+    """own with the added tags whose keys it lacks."""
+    more = F.create_map(*[F.lit(x) for pair in added.items() for x in pair]) if added else F.create_map().cast("map<string,string>")
+    return F.map_concat(F.map_filter(more, lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(own), k), F.lit(False))), own)
+
+
+def remap(label: Column, mapping: dict[str, str]) -> Column:
+    """label by the mapping; labels that it lacks stay."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[label], label) if mapping else label
+
+
+def map_fields(columns: list[str], synonyms: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """canonical name to source column: for each canonical name that the columns lack, the first of its synonyms (in any case) that they have."""
+    have = {c.lower(): c for c in columns}
+    found = {name: [have[s] for s in tries if s in have] for name, tries in synonyms.items() if name not in have}
+    return {name: hits[0] for name, hits in found.items() if hits}
+
+
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """mapping: canonical name to source column; other columns stay."""
     return df.withColumnsRenamed({source: name for name, source in mapping.items()})

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegate.functions import sketch
-from sievegate.functions.text import alnum_tokens
+from sievegate.functions.text import alnum_tokens, jaccard
+from sievegate.sources.sinks import written
 
 #: Bytes of sets that a task holds as queries.
 BLOCK = 64 << 20
@@ -212,6 +213,28 @@ def dense_cosine_pairs(df: DataFrame, key: str, vector: str, least: float = 0.90
     return a.join(b, ["p", "q"]).where("a < b").select("a", "b", (dot / (F.col("m") * F.col("n"))).alias("cosine")).where(F.col("cosine") >= least)
 
 
+def near_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) of nodes (id, w: a set) whose Jaccard is least or more, exactly.
+
+    Pairs are found by their rarest words: of two sets that reach least, the first n - ceil(least * n) + 1 words
+    in the order of rising frequency have one in common. Candidates are verified on the sets.
+    """
+    rows = nodes.where(F.size("w") > 0).select("id", F.size("w").alias("n"), F.explode("w").alias("x"))
+    frequency = rows.groupBy("x").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "x")
+    prefix = rows.join(frequency, "x").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    a, b = (prefix.select("x", F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    pairs = a.join(b, "x").where((F.col("a") < F.col("b")) & (F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least)).select("a", "b").distinct()
+    x, y = (nodes.select(F.col("id").alias(c), F.col("w").alias(f"w_{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").where(jaccard(F.col("w_a"), F.col("w_b")) >= least).select("a", "b")
+
+
+def fuzzy_dedupe(df: DataFrame, key: str, words: Column, least: float) -> DataFrame:
+    """id of the rows kept when, in order of key, a row goes whose set of words is a kept one's or nearly; of equal sets the least key stays."""
+    nodes = df.select(F.col(key).alias("key"), F.array_sort(words).alias("w")).groupBy("w").agg(F.min("key").alias("id"))
+    return greedy_dedupe(nodes.select("id"), near_pairs(nodes, least), written)
+
+
 def greedy_dedupe(nodes: DataFrame, edges: DataFrame, write) -> DataFrame:
     """id of the nodes that are kept when, in order of id, a node is dropped if a kept smaller one is its neighbour.
 

@@ -145,7 +145,14 @@ def rate_limit_60s(spark, sf_dir):
     return metering.rate_limit(events(spark, sf_dir), "project_id", "ts", 1)
 
 
-@query("daily_quota")
+@query(
+    "daily_quota",
+    f"""with recursive {_E}, o as (select event_id, api_key_id, project_id, ts::date as day, coalesce(rows_in, 0) as size, row_number() over (partition by api_key_id, project_id, ts::date order by ts, event_id) as i from e
+), r as (select null::bigint as event_id, k.api_key_id, k.project_id, k.day, 0::bigint as i, 0::bigint as n, 0::bigint as total, false as ok from (select distinct api_key_id, project_id, day from o) k
+  union all select o.event_id, r.api_key_id, r.project_id, r.day, o.i, r.n + q.ok::int, r.total + case when q.ok then o.size else 0 end, q.ok
+  from r join o on r.api_key_id is not distinct from o.api_key_id and r.project_id is not distinct from o.project_id and r.day is not distinct from o.day and o.i = r.i + 1, lateral (select r.n < 3 and not (o.size > 0 and r.total + o.size > 120) as ok) q)
+select event_id as event, api_key_id as key, project_id as project, day, ok as accepted from r where i > 0""",
+)
 def daily_quota(spark, sf_dir):
     return metering.daily_quota(events(spark, sf_dir), "event_id", "api_key_id", "project_id", "ts", "rows_in", requests_per_day=3, rows_per_day=120)
 
@@ -255,6 +262,12 @@ def lineage_parents(spark, sf_dir):
     return history.parents(links, links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct(), "region:ASIA")
 
 
+@query("lineage_children", f"with {_EDGES} select distinct dst as id from edges where src = (select min(src) from edges)")
+def lineage_children(spark, sf_dir):
+    links = edges(spark, sf_dir)
+    return history.children(links, links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct(), links.agg(F.min("src")).first()[0])
+
+
 @query("lineage_mermaid", f"with {_EDGES} select 'graph LR' || chr(10) || string_agg('    ' || src || ' -->|' || relation || '| ' || dst, chr(10) order by '    ' || src || ' -->|' || relation || '| ' || dst) as text from edges")
 def lineage_mermaid(spark, sf_dir):
     return history.mermaid(edges(spark, sf_dir))
@@ -268,14 +281,14 @@ def order_price_percentiles(spark, sf_dir):
 @query("stream_tumbling", f"with {_E} select project_id, to_timestamp(floor(epoch_us(ts) / 3600000000) * 3600)::timestamp as window_start, count(*) as requests, greatest(0, count(*) - 5)::bigint as limited from e group by 1, 2")
 def stream_tumbling(spark, sf_dir):
     """The hourly rate limit computed by a stream that reads the table once."""
-    import uuid
-
+    from sievegate.sources.sinks import new_path
     from sievegate.streaming import windows
 
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     rows = stream.select(F.col("event_type").alias("project_id"), F.col("ts").cast("timestamp").alias("ts"))
-    name = f"stream_{uuid.uuid4().hex}"
     counted = windows.rate_limit(rows, "project_id", "ts", 5, 3600)
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out, state = new_path(spark), new_path(spark)
+    save = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    counted.writeStream.foreachBatch(save).outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

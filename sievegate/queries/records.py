@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievegate.functions.text import jaccard, strip, tokens
+from sievegate.functions.text import strip, tokens
 from sievegate.operators import records, similarity
 from sievegate.plans.ingest import ingest
 from sievegate.queries.registry import STRIPPED, documents, query, table
@@ -80,41 +80,20 @@ def flatten_events(spark, sf_dir):
 _UNIQUE = f"select min(doc_id) as doc_id, lower({STRIPPED}) as t from documents group by 2"
 
 
-@query("fuzzy_dedupe")
+_TOKEN_SETS = f"""w as (select min(doc_id) as id, w from (select doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> ''))) as w from documents) group by w
+), u as (select id, len(w) as n, unnest(w) as t from w), p as (select x.id as a, y.id as b from u x join u y using (t) where x.id < y.id group by x.id, y.id, x.n, y.n having count(*) / (x.n + y.n - count(*)) >= 0.85
+), s as (select b, list(a) as before, row_number() over (order by b) as i from p group by b)"""
+
+
+@query(
+    "fuzzy_dedupe",
+    f"""with recursive {_TOKEN_SETS}, r as (select 0::bigint as i, []::bigint[] as gone union all select s.i, case when len(list_filter(s.before, lambda x: not list_contains(r.gone, x))) > 0 then list_append(r.gone, s.b) else r.gone end from r join s on s.i = r.i + 1
+) select id as doc_id from w where not list_contains((select arg_max(gone, i) from r), id)""",
+)
 def fuzzy_dedupe(spark, sf_dir):
     """Kept documents of the greedy order: distinct token sets, Jaccard of 0.85 or more to a kept smaller one drops."""
     words = F.array_distinct(tokens(F.lower(F.coalesce(F.col("text"), F.lit("")))))
-    docs = documents(spark, sf_dir)
-    nodes = docs.select("doc_id", F.array_sort(words).alias("w")).groupBy("w").agg(F.min("doc_id").alias("id"))
-    pairs = _near(nodes, 0.85)
-    return similarity.greedy_dedupe(nodes.select("id"), pairs, _write(spark)).select(F.col("id").alias("doc_id"))
-
-
-def _near(nodes, least):
-    """Pairs (a < b) of nodes whose sets reach least, by their rarest words."""
-    from pyspark.sql import Window
-
-    rows = nodes.where(F.size("w") > 0).select("id", F.size("w").alias("n"), F.explode("w").alias("x"))
-    frequency = rows.groupBy("x").agg(F.count("*").alias("df"))
-    prefix = rows.join(frequency, "x").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a, b = (prefix.select("x", F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    pairs = a.join(b, "x").where((F.col("a") < F.col("b")) & (F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least)).select("a", "b").distinct()
-    x, y = (nodes.select(F.col("id").alias(c), F.col("w").alias(f"w_{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").where(jaccard(F.col("w_a"), F.col("w_b")) >= least).select("a", "b")
-
-
-def _write(spark):
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sievegate-")
-
-    def write(df):
-        path = f"{root}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return write
+    return similarity.fuzzy_dedupe(documents(spark, sf_dir), "doc_id", words, 0.85).select(F.col("id").alias("doc_id"))
 
 
 @query("sample_rows")

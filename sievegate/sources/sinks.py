@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegate.operators.records import category
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir. Where it is unset, a folder of our own if there is one machine only, as in tests; else an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = getattr(spark, "_sievegate_dir", None)
+        if not where:
+            where = spark._sievegate_dir = "file://" + tempfile.mkdtemp(prefix="sievegate-")
+    return where
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and outlives any executor."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sievegate_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._sievegate_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
     """One object a line; single gives one file, for small tables."""
     (df.coalesce(1) if single else df).write.mode("overwrite").json(path)

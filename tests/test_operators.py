@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegate.functions import patterns, sketch, text
-from sievegate.operators import decision, evaluation, filters, gates, history, metering, quality, records, similarity, stats
+from sievegate.operators import decision, evaluation, filters, gates, governance, history, metering, quality, records, similarity, stats
 from sievegate.plans import gate, ingest
 from sievegate.sources import readers, sinks
 from sievegate.streaming import windows
@@ -177,13 +177,55 @@ def test_ingest_drops_and_identifies(spark):
     done = ingest.ingest(df, mapping={"input": "prompt", "output": "completion"}, tags={"source": "x"}, id_column="k")
     assert done.schema == "sft"
     assert [tuple(r) for r in done.rows.collect()] == [("7", "q1", "a1", {"source": "x"})]
-    assert [tuple(r) for r in done.dropped.collect()] == [("missing_required", 1)]
+    assert [tuple(r) for r in done.dropped.collect()] == [("missing required fields input, output OR question, answer", 1)]
     named = ingest.ingest(df, mapping={"input": "prompt", "output": "completion"}).rows.first()["row_id"]
     assert named == "row_" + hashlib.sha256(json.dumps({"input": "q1", "output": "a1"}, sort_keys=True).encode()).hexdigest()[:16]
     with pytest.raises(ValueError):
         ingest.ingest(spark.range(1))
 
 
+def test_ingest_tags_strict_and_chat(spark):
+    rows = [("q1", "a1", '{"source": "own", "n": 3}'), ("q2", "a2", "not json"), ("q3", "a3", None)]
+    df = spark.createDataFrame(rows, "question string, answer string, tags string")
+    got = [r["tags"] for r in ingest.ingest(df, tags={"source": "x", "more": "y"}).rows.orderBy("input").collect()]
+    assert got == [{"more": "y", "source": "own", "n": "3"}, {"source": "x", "more": "y"}, {"source": "x", "more": "y"}]
+    with pytest.raises(ValueError):
+        ingest.ingest(spark.createDataFrame([("q", " ")], "question string, answer string"), strict=True)
+    said = [(1, [("user", "u"), ("assistant", "a"), ("user", "v"), ("assistant", "b")], {"k": "v"}), (2, [("user", "w"), ("assistant", "c")], None)]
+    chat = spark.createDataFrame(said, "key long, messages array<struct<role: string, content: string>>, tags map<string,string>")
+    done = ingest.ingest(chat, tags={"k": "z"}, id_column="key").rows.orderBy("input").collect()
+    assert [tuple(r) for r in done] == [("1", "u", "a", {"k": "v"}), ("1", "v", "b", {"k": "v"}), ("2", "w", "c", {"k": "z"})]
+
+
+def test_row_schemas_and_warnings(spark):
+    df = spark.createDataFrame([("t", "l", None), ("t", "l", None), ("t", None, None), ("x@y.org", "l", "s")], "text string, label string, summary string")
+    assert {r["schema"]: r["rows"] for r in records.votes(df).collect()} == {"classification": 3, "unknown": 1}
+    one = records.classified(df, F.col("text"), r"[a-z]+@[a-z.]+", r"\d{7}").first()
+    assert (one["rows"], one["schema"], one["duplicate_rate"], one["pii_rows"], one["schemas"], one["warnings"]) == (4, "classification", 0.25, 1, ["unknown"], ["duplicates", "pii", "mixed_schemas"])
+    assert records.classified(df.limit(0), F.col("text"), "a", "b").first()["warnings"] == ["empty"]
+    assert records.map_fields(["Prompt", "completion", "text"], {"input": ("prompt", "question"), "output": ("response", "completion"), "text": ("body",)}) == {"input": "Prompt", "output": "completion"}
+    assert [r["x"] for r in df.select(records.remap(F.col("text"), {"t": "u"}).alias("x")).collect()] == ["u", "u", "u", "x@y.org"]
+
+
+def test_integrity(spark):
+    ok = [("a", "manifest.json", 5, 10.0, "h", "h"), ("a", "decision.json", 5, 11.0, None, "x")]
+    rows = [*ok, ("b", "manifest.json", 5, 10.0, "h", "g"), ("b", "decision.json", 0, 5.0, None, "x"), ("b", "odd.bin", 1, 1.0, None, "x"), ("c", "manifest.json", 5, 10.0, "h", "h")]
+    df = spark.createDataFrame(rows, "run string, name string, size long, modified double, expected string, actual string")
+    got = {r["run"]: tuple(r)[1:] for r in governance.integrity(df).collect()}
+    assert got["a"] == ("VERIFIED", [], False, "LOW", [], [])
+    assert got["b"] == ("TAMPERED", ["MTIME_ANOMALY", "UNEXPECTED_FILES", "SIZE_ANOMALY", "HASH_MISMATCH"], True, "HIGH", [], ["odd.bin"])
+    assert got["c"] == ("INCOMPLETE", ["FILES_MISSING"], True, "MEDIUM", ["decision.json"], [])
+    assert [tuple(r) for r in governance.unexpected(df).collect()] == [("b", "odd.bin")]
+
+
+def test_promotions_in_order(spark):
+    rows = [("m", "v1", 1, "production", 90.0, 10.0, "SHIP"), ("m", "v1", 2, "staging", None, None, None), ("m", "v1", 3, "production", 59.0, 10.0, "SHIP"), ("m", "v1", 4, "production", 60.0, 50.0, "SHIP"), ("m", "v1", 5, "archived", None, None, None), ("m", "v1", 6, "staging", None, None, None)]
+    df = spark.createDataFrame(rows, "model string, version string, ts long, target string, health double, risk double, recommendation string")
+    assert [tuple(r) for r in governance.promote(df).collect()] == [("m", "v1", "archived", 3)]
+    asked = df.withColumn("stage", F.lit("staging")).select("ts", governance.promotion().alias("x"))
+    assert {r["ts"]: r["x"] for r in asked.collect()} == {1: [], 2: ["transition"], 3: ["health"], 4: [], 5: [], 6: ["transition"]}
+
+
 def test_rejection_order(spark):
     texts = ["", "short", "x" * 600, "#" * 30, "word " * 10, "mail me at someone@example.org please now", "a perfectly good sentence of many words"]
     got = [r["x"] for r in docs(spark, *texts).select(filters.rejection(F.col("text")).alias("x")).collect()]
