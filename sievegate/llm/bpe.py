@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import need
+from .common import lean, need
 
 #: Pieces remembered by one Python worker, and the characters that such a piece has at most; the table is emptied when it is full.
 PIECES, SHORT = 120_000, 32
@@ -153,7 +153,7 @@ def encode(df: DataFrame, key: str, path: str, pattern: str, text: str = "text",
                 columns.append(pa.array([own.decode(x) for x in ids], type=pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, key: str, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -174,7 +174,7 @@ def decode(df: DataFrame, key: str, path: str, pattern: str, ids: str = "ids") -
                 out = [own.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in lists]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(out, type=pa.binary())], names=[key, "ids", "bytes"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def decode_text(data: bytes) -> str:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievegate.sources.sinks import forget, shared_dir, written  # noqa: F401
+
 
 #: Bytes of input for each partition of a shuffle whose tasks hold what they read; more partitions than are set are used where the input needs them.
 PART = 64 << 20
@@ -16,28 +20,6 @@ PART = 64 << 20
 BROADCAST = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. Where it is unset, a folder of our own if there is one machine only, as in tests; else an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = getattr(spark, "_sievegate_dir", None)
-        if not where:
-            where = spark._sievegate_dir = "file://" + tempfile.mkdtemp(prefix="sievegate-")
-    return where
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sievegate_path = path
-    return out
-
-
 def written_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """As written, in so many buckets of key; later joins on key leave its rows in place where there are as many shuffle partitions."""
     spark = df.sparkSession
@@ -50,11 +32,18 @@ def written_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables of written that no later plan reads."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._sievegate_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the Python worker gives the memory that it doesn't use back: Spark keeps workers for later tasks."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # of glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return mapped
 
 
 def side(table: DataFrame, row: int) -> DataFrame:

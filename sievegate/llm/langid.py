@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import lean, need
 
 #: Length of the vectors, and symbols: 0 for what is no letter, a to z, and the other letters by code point.
 WIDTH, SYMBOLS = 2048, 64
@@ -160,7 +160,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
             total = sum((own[found[a : a + PART]] @ vectors(found[a : a + PART]).astype(np.int64) for a in range(0, len(found), PART)), np.zeros(WIDTH, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([name] * WIDTH), pa.array(range(WIDTH), pa.int32()), pa.array(total, pa.int64())], names=["lang", "at", "sum"])
 
-    made = src.mapInArrow(run, "lang string, at int, sum long").groupBy("lang", "at").agg(F.sum("sum").alias("sum"))
+    made = src.mapInArrow(lean(run), "lang string, at int, sum long").groupBy("lang", "at").agg(F.sum("sum").alias("sum"))
     found: dict[str, np.ndarray] = {}
     for r in made.collect():
         found.setdefault(r["lang"], np.zeros(WIDTH))[r["at"]] = r["sum"]
@@ -192,7 +192,7 @@ def floors(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
     if not profiles.names:
         return floor
     made: dict[tuple[int, str], np.ndarray] = {}
-    for r in src.mapInArrow(run, "lang string, at int, step int, n long").groupBy("lang", "at", "step").agg(F.sum("n").alias("n")).collect():
+    for r in src.mapInArrow(lean(run), "lang string, at int, step int, n long").groupBy("lang", "at", "step").agg(F.sum("n").alias("n")).collect():
         made.setdefault((r["at"], r["lang"]), np.zeros(STEPS + 1, dtype=np.int64))[r["step"]] = r["n"]
     for i in range(LENGTHS):
         reached = [int(np.searchsorted(np.cumsum(own), SHARE * own.sum(), side="right")) / STEPS for (at, _), own in made.items() if at == i and own.sum() >= ENOUGH]
@@ -221,4 +221,4 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*names, lang, score])
 
     schema = src.select("*", F.lit("").alias(lang), F.lit(0.0).alias(score)).schema
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, hashing
-from .common import forget, need, partitions, side, written
+from .common import forget, lean, need, partitions, side, written
 
 U = np.uint64
 #: Groups that make the tree's points, and the least and most that make a set's fine point, which has one for every four shingles.
@@ -203,7 +203,7 @@ def _sized(df: DataFrame, k: int) -> DataFrame:
         for keys, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays([*keys, pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, set_ids(sets))], names=["key", "h", "n", "sid", "check"])
 
-    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, h long, n long, sid long, check long")
+    return df.mapInArrow(lean(run), f"key {df.schema['key'].dataType.simpleString()}, h long, n long, sid long, check long")
 
 
 def _dealt(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -222,7 +222,7 @@ def _dealt(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in blocks]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(blocks)))], names=["sid", "blocks"])
 
-    return df.mapInArrow(run, "sid long, blocks array<long>").select("sid", F.explode("blocks").alias("block"))
+    return df.mapInArrow(lean(run), "sid long, blocks array<long>").select("sid", F.explode("blocks").alias("block"))
 
 
 def _loaded(df: DataFrame, k: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _loaded(df: DataFrame, k: int) -> DataFrame:
             names = [pa.array([name[i] for name in new], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*names, pa.array([len(x) for x in new.values()], pa.int64()), *[pa.array(x, pa.binary()) for x in made]], names=["sid", "check", "n", "own", "fine", "point"])
 
-    return df.mapInArrow(run, "sid long, check long, n long, own binary, fine binary, point binary")
+    return df.mapInArrow(lean(run), "sid long, check long, n long, own binary, fine binary, point binary")
 
 
 def _named(sets: DataFrame) -> tuple[DataFrame, Column]:
@@ -263,7 +263,7 @@ def _judged(pairs: DataFrame, sets: DataFrame, column: str, keep) -> DataFrame:
             buffers = [[v.as_buffer() for v in batch.column(c)] for c in (2, 3)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep(*buffers), pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -327,7 +327,7 @@ def _tree_pairs(rest: DataFrame, num: int, den: int) -> DataFrame:
             yield from emit(pa.Table.from_batches(held))
 
     spread = dealt.repartition(partitions(rest.sparkSession), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import forget, need, written
+from .common import forget, lean, need, written
 
 U = np.uint64
 BITS = 18
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     names=["order", "label", "index", "share"],
                 )
 
-    made = held.mapInArrow(run, "order long, label int, index binary, share binary")
+    made = held.mapInArrow(lean(run), "order long, label int, index binary, share binary")
     table = written(made.groupBy("order", "label").agg(F.min(F.struct("index", "share")).alias("x")).select("order", "label", "x.*"))
     sizes = table.select("order", F.octet_length("index") / 4).orderBy("order").collect()
     kept = int(np.searchsorted(np.cumsum([n for _, n in sizes]), most, side="right"))
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for a, b, data, offsets in hashing.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.score(data, offsets))], names=[key, "score"])
 
-    return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, score double")
+    return src.mapInArrow(lean(run), f"`{key}` {src.schema[key].dataType.simpleString()}, score double")
 
 
 def fold(key: Column, folds: int) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import need, partitions, written, written_by
+from .common import lean, need, partitions, written, written_by
 
 U = np.uint64
 #: Bits of a gram's hash that are sent, beside its bucket.
@@ -515,18 +515,18 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
         repeated = named.join(same, "id", "left_semi").groupBy("key", "id", "salt", "rid").agg(F.first("text").alias("text"))
         named = named.join(same, "id", "left_anti").select("key", "id", "salt", "rid", "text").unionByName(repeated)
 
-    packs = named.select("rid", "text").mapInArrow(lambda x: _packed(x, length, buckets), "bucket int, shared boolean, pack binary")
-    shared = packs.repartition(p, "bucket").mapInArrow(_held_twice, "rid long, grams binary").groupBy("rid").agg(F.collect_list("grams").alias("grams"))
+    packs = named.select("rid", "text").mapInArrow(lean(lambda x: _packed(x, length, buckets)), "bucket int, shared boolean, pack binary")
+    shared = packs.repartition(p, "bucket").mapInArrow(lean(_held_twice), "rid long, grams binary").groupBy("rid").agg(F.collect_list("grams").alias("grams"))
     firsts = base.where("key = least").select("key", salt.alias("salt")).select(rid.alias("rid")).distinct()
     held = written_by(named.join(shared.join(firsts, "rid"), "rid").select("key", "salt", "rid", "id", "text", "grams"), "rid", p)
 
-    contexts = held.select("key", "salt", "text", "grams").mapInArrow(lambda x: _context_rows(x, length, buckets), CONTEXT)
+    contexts = held.select("key", "salt", "text", "grams").mapInArrow(lean(lambda x: _context_rows(x, length, buckets)), CONTEXT)
     # settled contexts only pass through, so they go by their row and not by a context that many rows share
     spread = contexts.repartition(p, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("key", "salt"), F.lit(buckets)).cast("int")))
-    found = spread.mapInArrow(lambda x: _judged(x, length), FOUND)
+    found = spread.mapInArrow(lean(lambda x: _judged(x, length)), FOUND)
     told = found.groupBy(rid.alias("rid")).agg(F.collect_list(F.struct("key", "salt", "mark", "bits")).alias("told"))
     mine = F.filter("told", lambda x: (x["key"] == F.col("key")) & (x["salt"] == F.col("salt")))  # rids may be equal by chance
-    cut = held.join(told, "rid").withColumn("told", mine).where(F.size("told") > 0).select("key", "id", "text", "grams", "told.mark", "told.bits").mapInArrow(lambda x: _cut(x, length), "key long, id binary, spans array<struct<start:int,end:int>>, kept_sha256 string")
+    cut = held.join(told, "rid").withColumn("told", mine).where(F.size("told") > 0).select("key", "id", "text", "grams", "told.mark", "told.bits").mapInArrow(lean(lambda x: _cut(x, length)), "key long, id binary, spans array<struct<start:int,end:int>>, kept_sha256 string")
 
     full = base.join(cut, ["key", "id"], "left")
     copy = (F.col("key") > F.col("least")) & (F.col("n") >= length)
