@@ -201,14 +201,12 @@ def floors(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str =
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang_pred", score: str = "score", floor: list[float] | None = None) -> DataFrame:
-    """docs with two more columns, whose names must be new; null texts are unknown, repeated rows repeat. floor: as of floors.
+    """docs with two more columns; a column of docs that has one of their names is replaced, so a caller that needs it names them otherwise.
 
-    Of equally near languages the first by name is taken. An empty table stays empty.
+    Null texts are unknown, repeated rows repeat. floor: as of floors. Of equally near languages the first by name is taken. An empty table stays empty.
     """
     need(docs, text)
-    if taken := {lang, score} & set(docs.columns):
-        raise ValueError(f"columns that are there already: {', '.join(sorted(taken))}")
-    src = docs
+    src = docs.drop(lang, score)
     names = src.columns
     at = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)

@@ -289,6 +289,129 @@ def test_language_of_awkward_rows(spark, edge, empty):
     assert {r["lang_pred"] for r in langid.predict(edge, langid.train(taught.limit(0))).collect()} == {"und"}
 
 
+def plain_features(text):
+    """The quality features of a text, word by word."""
+    words = [w for w in regex.split(r"[ \t-\r]+", text or "") if w]
+    low = [w.encode().translate(bytes(hashing.LOWER.tolist())) for w in words]
+    data = " ".join(words).encode()
+    start, stop, _ = hashing.places(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+    word = hashing.hashes(np.frombuffer(data, dtype=np.uint8), start, stop)
+    out, seen, before, shape_before = [], set(), None, None
+    mix = lambda *terms: hashing.mix(np.array([sum(terms) % 2**64], dtype=np.uint64))[0]
+    step = [int(x) for x in hashing.STEP]
+    for i, w in enumerate(words):
+        body = w.encode()
+        capital, small = sum(65 <= b <= 90 for b in body), sum(97 <= b <= 122 or b >= 128 for b in body)
+        digit = sum(48 <= b <= 57 for b in body)
+        other = len(body) - capital - small - digit
+        triple = tuple(low[i : i + 3])
+        again = len(words) > 3 and len(triple) == 3 and triple in seen
+        seen.add(triple)
+        code = (capital > 1 and small == 0) * 1 + (digit > 0) * 2 + min(other, 3) * 4 + (capital + small + digit == 0) * 16 + (i > 0 and low[i] == low[i - 1]) * 32 + again * 64
+        own, shape = int(word[i]), int(mix(code + (1 << 40)))
+        pair = [int(mix((7 if b is None else b) * step[3] + x * step[4])) for b, x in ((before, own), (shape_before, shape))]
+        out += [own >> 46, pair[0] >> 46, shape >> 46, pair[1] >> 46]
+        before, shape_before = own, shape
+    return out
+
+
+def test_quality_features_and_scores_against_plain_loops(spark):
+    texts = ["The THE the 12 -- !! ab1", "one", "a b c a b c a b c", "", None, "é漢 É UPPER lower", *[prose(n) for n in (4, 40, 80)]]
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(size=1 << quality.BITS), -0.3)
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), SCHEMA), model).collect()}
+    for i, text in enumerate(texts):
+        found = plain_features(text)
+        z = model.bias + quality.SCALE * sum(model.weights[f] for f in found) / max(1, len(found) // 4)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z))), text
+
+
+def test_quality_training_against_plain_updates(spark):
+    """Follow-the-regularised-leader written out feature by feature, over the rows in the order of their keys' hashes."""
+    rows = [(i, (prose(12) if i % 2 else "SPAM !!! 99 SPAM " + prose(5)), i % 2) for i in range(24)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    order = {r["doc_id"]: r["h"] for r in labels.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    z, n = {}, {}
+    a, b, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+
+    def weight(f):
+        own = z.get(f, 0.0)
+        return 0.0 if abs(own) <= l1 else -(own - np.sign(own) * l1) / ((b + n.get(f, 0.0) ** 0.5) / a + l2)
+
+    for _ in range(quality.PASSES):
+        for _, text, label in sorted(rows, key=lambda r: order[r[0]]):
+            found = plain_features(text)
+            x = {f: np.float32(found.count(f) / (len(found) / 4)) * quality.SCALE for f in found} | {"bias": 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + np.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - label) * v
+                sigma = ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / a
+                z[f], n[f] = z.get(f, 0.0) + g - sigma * w[f], n.get(f, 0.0) + g * g
+    model = quality.train(docs, labels)
+    assert model.bias == pytest.approx(weight("bias"), rel=1e-5)
+    used = [f for f in z if f != "bias"]
+    assert np.allclose(model.weights[used], [weight(f) for f in used], atol=1e-5) and np.count_nonzero(model.weights) == sum(weight(f) != 0 for f in used)
+
+
+def test_quality_bounds(spark):
+    """A key of many rows is one row, and features are bounded in the order of the keys' hashes."""
+    docs = spark.createDataFrame([(1, prose(20)) for _ in range(300)] + [(k, prose(20)) for k in range(2, 12)], SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 12)], "doc_id long, quality int")
+    whole, few, none = (quality.train(docs, labels, most=m) for m in (10**6, 200, 1))
+    assert np.count_nonzero(few.weights) < np.count_nonzero(whole.weights) and not none.weights.any()
+
+
+def plain_trigrams(text):
+    symbol = langid.symbol_of()
+    own, out = [0], []
+    for c in text or "":
+        s = int(symbol[ord(c)])
+        if s or own[-1]:
+            own.append(s)
+    if own[-1]:
+        own.append(0)
+    for i in range(1, len(own) - 1):
+        if own[i]:
+            out.append((own[i - 1], own[i], own[i + 1]))
+    return out
+
+
+def plain_bundle(text):
+    """Letters' vectors rotated by their places, multiplied and added one trigram at a time."""
+    base = langid.letters()[2].astype(np.int64)
+    total = np.zeros(langid.WIDTH, dtype=np.int64)
+    for a, b, c in plain_trigrams(text):
+        total += np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
+    return total
+
+
+def test_language_against_plain_cosines(spark):
+    taught = [("the cat and the dog sat there", "en"), ("The weather, with them!", "en"), ("le chat et le chien", "fr"), ("où est-il déjà", "fr"), ("", "zz"), ("12 34", "zz")]
+    texts = ["the dog", "le chien", "x", "Ça déjà", "12", "", None, "der Hund", "THE  cat..and", "漢字 é"]
+    profiles = langid.train(spark.createDataFrame(taught, "text string, lang string"))
+    sums = {name: sum(plain_bundle(t) for t, lang in taught if lang == name) for name in ("en", "fr")}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), SCHEMA), profiles).collect()}
+    for i, text in enumerate(texts):
+        own = plain_bundle(text)
+        if not plain_trigrams(text):
+            assert got[i] == ("und", 0.0)
+            continue
+        like = {name: float(own @ s) / (np.linalg.norm(own) * np.linalg.norm(s)) for name, s in sums.items()}
+        best = max(sorted(like), key=like.__getitem__)
+        assert got[i][0] == best and got[i][1] == pytest.approx(max(0.0, like[best]), abs=1e-6), text
+
+
+def test_language_ties_and_clashes(spark):
+    """Two languages of the same texts are equally near: the first by name is taken. Extra columns of the outputs' names are replaced."""
+    taught = spark.createDataFrame([("the cat", "xb"), ("the cat", "xa"), ("the cat", "xb")], "text string, lang string").withColumn("sum", F.lit(1)).withColumn("at", F.lit(1))
+    docs = spark.createDataFrame([(1, "the cat"), (1, "the cat")], SCHEMA).withColumn("score", F.lit("own")).withColumn("lang", F.lit(None).cast("string"))
+    got = langid.predict(docs, langid.train(taught)).collect()
+    assert [(r["lang_pred"], round(r["score"], 6), r["lang"]) for r in got] == [("xa", 1.0, None)] * 2
+    assert langid.train(taught.limit(0)).names == []
+
+
 def test_bundle_binds_and_rotates():
     first, second, third = langid.letters()
     found, count = langid.trigrams("ab")
@@ -357,6 +480,14 @@ def test_base_spans_of_random_texts(spark):
         assert [s for s in got[i] if s[0] in PATTERNS] == base_spans(text), repr(text)
 
 
+def test_spans_of_repeated_rows_and_no_rows(spark, edge, empty):
+    assert pii_spans.find(empty).count() == 0
+    twice = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (None, None)], SCHEMA).withColumn("spans", F.lit("own"))
+    got = [(r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in pii_spans.find(twice).collect()]
+    assert sorted(got, key=repr) == [(1, [("email", 0, 5)]), (1, [("email", 0, 5)]), (None, [])]
+    assert pii_spans.find(edge).count() == len(EDGE)
+
+
 def test_redaction(spark, empty):
     df = spark.createDataFrame([(1, "to a@b.c or +1 (555) 123-4567, 1.2.3.4!"), (2, None), (3, "clean é😀"), (4, "+4111111111111111")], SCHEMA).withColumn("text_spans", F.lit(7))
     got = {r["doc_id"]: r["text"] for r in pii_spans.redact(df).collect()}
@@ -556,6 +687,7 @@ def test_tokens_round_trip(spark, edge, empty, encoding):
     for r in ids.collect():
         sizes = [len(encoding.decode_single_token_bytes(i)) for i in r["ids"]]
         assert r["starts"] == [sum(sizes[:i]) for i in range(min(200, len(sizes)))] + r["starts"][200:]
+        assert r["chars"] == encoding.decode_with_offsets(r["ids"])[1]
     assert bpe.encode(empty, "doc_id", path, pattern).count() == 0
 
 
@@ -755,7 +887,23 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir, tmp_path, encoding):
     assert told.where("lang is null").count() == 0
     groups = brute_groups([x for x in pairs(told) if x[0] is not None], 5, 80, 100)
     assert {k for k, _ in pairs(single)} == {k for k, _, c in groups if k == c} | {None}
-    held = {r["doc_id"] for r in decontaminate.find(single, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    floor = langid.floors(raw, langid.train(raw))
+    names = [n for n in ("de", "en", "es", "fr") if raw.where(F.col("lang") == n).count()]
+    sums = np.stack([sum(plain_bundle(t) for t, lang in [(r["text"], r["lang"]) for r in raw.where(F.col("lang") == n).collect()]) for n in names]).astype(float)
+    sums /= np.linalg.norm(sums, axis=1, keepdims=True)
+    for key, text in pairs(raw)[::7]:
+        own, n = plain_bundle(text), len(plain_trigrams(text))
+        kept = n > 0 and max(sums @ own) / np.linalg.norm(own) >= floor[min(n.bit_length(), len(floor)) - 1]
+        assert kept == (key in {k for k, _ in pairs(told)}), key
+    item_words = [regex.findall(r"[\p{L}\p{N}]+", t.lower()) for _, t in rows_of(sf_dir, "benchmark", "item_id, text")]
+    items = [(k, {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) for w in item_words if (k := min(5, len(w)))]
+
+    def contaminated(text):
+        w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+        grams = {k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for k in {k for k, _ in items}}
+        return any(100 * len(own & grams[k]) >= 80 * len(own) for k, own in items)
+
+    held = {k for k, t in pairs(single) if contaminated(t)}
     assert {k for k, _ in pairs(clean)} == {k for k, _ in pairs(single)} - held and 9003 in held
     texts = dict(pairs(private))
     assert texts[9004].startswith("write to [EMAIL] about") and texts[None].endswith("[EMAIL]")
