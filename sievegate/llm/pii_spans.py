@@ -162,7 +162,9 @@ def spans(text: Column) -> Column:
 def find(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """df with one more column of spans; a column of that name is replaced.
 
-    Null texts count as empty and have an empty list; repeated rows repeat.
+    Null texts count as empty and have an empty list; repeated rows repeat, an empty table stays empty. Spans of
+    one kind never tie; those of several kinds may overlap. A text costs in proportion to its length, a long one with
+    very many matches somewhat more.
     """
     need(df, text)
     return df.withColumn(out, spans(F.coalesce(F.col(text), F.lit(""))))

@@ -132,7 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score for each row; null texts count as empty, repeated rows repeat, other columns are dropped."""
+    """key, score for each row; null texts count as empty, repeated rows repeat, an empty table gives none, other columns are dropped.
+
+    A very long text is one task's work and needs some 200 bytes of memory for each of its words.
+    """
     need(docs, key, text)
     src = docs.select(key, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
