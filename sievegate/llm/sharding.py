@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, need
+from .common import need
 
 
 def _draw(key: Column, shard: int) -> Column:
@@ -24,23 +24,6 @@ def _key(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("null"))
 
 
-def _scores(column: Column, weights: Sequence[float]) -> Column:
-    """array<struct<score, shard>> of a key column's draws."""
-    if not weights or min(weights) <= 0:
-        raise ValueError("at least one shard, and weights above 0")
-    key = _key(column)
-    if len(set(weights)) == 1:
-        scores = [_draw(key, s) for s in range(len(weights))]
-    else:
-        unit = [(F.conv(F.substring(_draw(key, s), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**13)) for s in range(len(weights))]
-        scores = [F.lit(float(w)) / -F.log(u) for w, u in zip(weights, unit, strict=True)]
-    return F.array(*[F.struct(x.alias("score"), F.lit(s).alias("shard")) for s, x in enumerate(scores)])
-
-
-def _weights(shards: int | Sequence[float]) -> list[float]:
-    return [1.0] * shards if isinstance(shards, int) else [float(w) for w in shards]
-
-
 def shard_of(column: Column, shards: int | Sequence[float]) -> Column:
     """The winning shard of a key column; shards is a count or one positive weight per shard.
 
@@ -48,16 +31,16 @@ def shard_of(column: Column, shards: int | Sequence[float]) -> Column:
     the digest's first 13 hexadecimal digits as a fraction, which gives it keys in proportion to its
     weight. Null keys share the key "null". Ties, which need equal digests, go to the later shard.
     """
-    return F.array_max(_scores(column, _weights(shards)))["shard"]
-
-
-def grown(column: Column, shards: int | Sequence[float]) -> Column:
-    """struct<shard, grown_shard>: the winning shard, and with one more shard of weight 1; each draw is made once."""
-    weights = _weights(shards)
-    if not weights:
+    weights = [1.0] * shards if isinstance(shards, int) else [float(w) for w in shards]
+    if not weights or min(weights) <= 0:
         raise ValueError("at least one shard, and weights above 0")
-    winners = lambda a: F.struct(F.array_max(F.slice(a, 1, len(weights)))["shard"].alias("shard"), F.array_max(a)["shard"].alias("grown_shard"))
-    return let(_scores(column, [*weights, 1.0]), winners)
+    key = _key(column)
+    if len(set(weights)) == 1:
+        scores = [_draw(key, s) for s in range(len(weights))]
+    else:
+        unit = [(F.conv(F.substring(_draw(key, s), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**13)) for s in range(len(weights))]
+        scores = [F.lit(w) / -F.log(u) for w, u in zip(weights, unit, strict=True)]
+    return F.array_max(F.array(*[F.struct(x.alias("score"), F.lit(s).alias("shard")) for s, x in enumerate(scores)]))["shard"]
 
 
 def shard(df: DataFrame, key: str, shards: int | Sequence[float], text: str = "text") -> DataFrame:
@@ -68,16 +51,20 @@ def shard(df: DataFrame, key: str, shards: int | Sequence[float], text: str = "t
     offset comes from the lane counts: no task holds a whole shard. Null texts count as empty;
     repeated keys share a shard and have slots of their own, equal rows in any order; an empty table gives none. Of
     a text only its length and checksum are moved, however long it is. Other columns are dropped, so none can clash.
+
+    The draws of both shard counts are equal expressions, which the compiled stage evaluates once.
     """
     need(df, key, text)
     body = F.coalesce(F.col(text), F.lit(""))
+    more = shards + 1 if isinstance(shards, int) else [*shards, 1.0]
     rows = df.select(
         F.col(key),
         (F.octet_length(body).cast("long") + F.lit(8)).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        grown(F.col(key), shards).alias("of"),
+        shard_of(F.col(key), shards).cast("int").alias("shard"),
+        shard_of(F.col(key), more).cast("int").alias("grown_shard"),
         F.substring(F.md5(F.concat_ws(":", _key(F.col(key)), F.lit("lane"))), 1, 3).alias("lane"),
-    ).select(key, "size", "text_crc32", "of.shard", "of.grown_shard", "lane")
+    )
     lane = Window.partitionBy("shard", "lane")
     numbered = rows.withColumn("at", F.row_number().over(lane.orderBy(key, "text_crc32")).cast("long"))
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
