@@ -70,6 +70,7 @@ class Codec:
         for token, i in ranks.items():
             self.bytes_of[i] = token
         self.length_of = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+        self.within = np.array([t[:1] >= b"\x80" and t[:1] < b"\xc0" for t in self.bytes_of])
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
@@ -91,8 +92,10 @@ class Codec:
         """For each token the byte where it begins, and the character that it begins or, as part of one, lies in."""
         sizes = self.length_of[ids]
         at = np.cumsum(sizes) - sizes
+        if len(body) == 0 or body.isascii():
+            return at, at
         first = np.frombuffer(body, dtype=np.uint8) & 0xC0 != 0x80
-        return at, (np.cumsum(first)[at] - 1 if len(at) else at)
+        return at, np.cumsum(first)[at] - 1
 
     def decode(self, ids: np.ndarray) -> bytes:
         table = self.bytes_of
@@ -127,8 +130,8 @@ def _list(values: list, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype()), type=kind))
 
 
-def encode(df: DataFrame, key: str, path: str, pattern: str, text: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
-    """key, ids array<int>; with offsets starts and chars, array<int>: the byte where each token begins, and the character; with decoded bytes: those that the ids decode to.
+def encode(df: DataFrame, key: str, path: str, pattern: str, text: str = "text", offsets: bool = True, decoded: bool = False, splits: bool = False) -> DataFrame:
+    """key, ids array<int>; with offsets starts and chars, array<int>: the byte where each token begins, and the character; with decoded bytes: those that the ids decode to; with splits n_split long: how many tokens begin within a character.
 
     decoded spares a second pass over the ids, and its workers, where both directions are wanted.
     Null and empty texts have no tokens. The file must be readable under this path on every executor,
@@ -137,8 +140,8 @@ def encode(df: DataFrame, key: str, path: str, pattern: str, text: str = "text",
     """
     need(df, key, text)
     src = df.select(key, text)
-    schema = f"`{key}` {src.schema[key].dataType.simpleString()}, ids array<int>" + ", starts array<int>, chars array<int>" * offsets + ", bytes binary" * decoded
-    names = [key, "ids", *["starts", "chars"] * offsets, *["bytes"] * decoded]
+    schema = f"`{key}` {src.schema[key].dataType.simpleString()}, ids array<int>" + ", starts array<int>, chars array<int>" * offsets + ", bytes binary" * decoded + ", n_split long" * splits
+    names = [key, "ids", *["starts", "chars"] * offsets, *["bytes"] * decoded, *["n_split"] * splits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -148,9 +151,12 @@ def encode(df: DataFrame, key: str, path: str, pattern: str, text: str = "text",
             columns = [batch.column(0), _list(ids, pa.int32())]
             if offsets:
                 found = [own.starts(x, t.encode()) for x, t in zip(ids, texts, strict=True)]
+            if offsets:
                 columns += [_list([x[i] for x in found], pa.int32()) for i in (0, 1)]
             if decoded:
                 columns.append(pa.array([own.decode(x) for x in ids], type=pa.binary()))
+            if splits:
+                columns.append(pa.array([int(own.within[x].sum()) for x in ids], type=pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return src.mapInArrow(lean(run), schema)

@@ -72,14 +72,13 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = bpe.vocabulary()
-    made = bpe.encode(documents(spark, sf_dir), "doc_id", path, pattern, decoded=True)
-    split = F.size(F.filter(F.transform("chars", lambda c, i: c == F.get("chars", i - 1)), lambda x: x))
+    made = bpe.encode(documents(spark, sf_dir), "doc_id", path, pattern, offsets=False, decoded=True, splits=True)
     return made.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("bytes"), 256).alias("decoded_sha256"),
-        split.cast("long").alias("n_split"),
+        "n_split",
     )
 
 

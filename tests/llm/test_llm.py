@@ -865,6 +865,7 @@ def test_token_query(spark, sf_dir, encoding):
     for key, text in rows_of(sf_dir):
         ids = encoding.encode_ordinary(text or "")
         r = got[key]
+        assert r["n_split"] == sum(0x80 <= encoding.decode_single_token_bytes(i)[0] < 0xC0 for i in ids)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
 
 
