@@ -16,6 +16,7 @@ import base64
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .common import lean, need
 
-#: Pieces remembered by one Python worker, and the characters that such a piece has at most; the table is emptied when it is full.
+#: Pieces that a Python worker remembers, about, in each of two generations, and the characters that such a piece has at most.
 PIECES, SHORT = 120_000, 32
 
 
@@ -72,21 +73,26 @@ class Codec:
         self.length_of = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
         self.within = np.array([t[:1] >= b"\x80" and t[:1] < b"\xc0" for t in self.bytes_of])
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Token ids of each text. Pieces are remembered in two generations, so what recurs outlives the emptying of a full table."""
         for text in texts:
             pieces = self.split(text)
-            seen, long = self.seen, {}
-            new = [p for p in dict.fromkeys(pieces) if p not in seen]
+            if len(self.seen) > PIECES:
+                self.seen, self.before = {}, self.seen
+            seen, before, long = self.seen, self.before, {}
+            new = set(pieces).difference(seen)
             if new:
-                if len(seen) + len(new) > PIECES:
-                    seen.clear()
-                    new = list(dict.fromkeys(pieces))
-                for piece, got in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
+                known = {p for p in new if p in before}
+                seen.update((p, before[p]) for p in known)
+                new = list(new - known)
+                for piece, got in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
                     (seen if len(piece) <= SHORT else long)[piece] = tuple(got.ids)
-            yield [i for p in pieces for i in (long.get(p) or seen[p])] if long else [i for p in pieces for i in seen[p]]
-            if len(seen) > PIECES:
-                seen.clear()
+            if long:
+                yield [i for p in pieces for i in (long.get(p) or seen[p])]
+            else:
+                yield list(chain.from_iterable(map(seen.__getitem__, pieces)))
 
     def starts(self, ids: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
         """For each token the byte where it begins, and the character that it begins or, as part of one, lies in."""
