@@ -13,6 +13,9 @@ OPTIONAL = ("dataset.jsonl", "usage.json", "audit.log", "decision.sig")
 #: The stages that may follow each stage, and what production asks for.
 NEXT_STAGE = {"none": ("staging",), "staging": ("production", "archived"), "production": ("archived",), "archived": ()}
 MIN_HEALTH, MAX_RISK = 60.0, 50.0
+#: Files that a run's contract asks for, and those of which it asks for one.
+RUN_FILES = ("config.yaml", "hashes.json", "environment.json")
+EVAL_FILES = ("eval/eval_results.json", "eval_results.json")
 
 
 def _names(conditions: dict[str, Column]) -> Column:
@@ -52,6 +55,19 @@ def integrity(files: DataFrame, run: str = "run", name: str = "name") -> DataFra
     return one.select(F.col("run").alias(run), "status", "indicators", "tampering", confidence.alias("confidence"), "missing", "unexpected")
 
 
+def run_contract(files: DataFrame, run: str = "run", name: str = "name", body: str = "body") -> DataFrame:
+    """run, valid, has_eval, failed (the files that are missing, and run_meta.json where its status isn't completed) from one row a file.
+
+    body is read of run_meta.json alone, a file that may be absent; one that isn't JSON has no status and fails.
+    """
+    meta = F.when(F.col(name) == "run_meta.json", F.coalesce(F.get_json_object(body, "$.status"), F.lit("unknown")))
+    one = files.groupBy(F.col(run).alias("run")).agg(F.collect_set(F.when(F.col(name).isin(*RUN_FILES, *EVAL_FILES), F.col(name))).alias("have"), F.max(meta).alias("status"))
+    lacks = {f: ~F.array_contains("have", f) for f in RUN_FILES}
+    has_eval = F.arrays_overlap("have", F.array(*map(F.lit, EVAL_FILES)))
+    failed = _names(lacks | {EVAL_FILES[0]: ~has_eval, "run_meta.json": F.col("status") != "completed"})
+    return one.select(F.col("run").alias(run), (F.size(failed) == 0).alias("valid"), has_eval.alias("has_eval"), failed.alias("failed"))
+
+
 def registration() -> Column:
     """array<string>: what forbids a run's registration, over recommendation, contract_valid and contamination; empty if nothing does."""
     return _names({

@@ -57,6 +57,35 @@ def usage_rollup(df: DataFrame, counters: dict[str, Column], key: str = "api_key
     return sets.agg(level.alias("level"), F.count("*").alias("requests"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counters])
 
 
+def replay(log: DataFrame, counters: list[str], line: str = "value") -> DataFrame:
+    """api_key_id, project_id, requests and the counters' sums from a log of JSON lines: ts, api_key_id, project_id, counters.
+
+    A line that isn't an object counts nothing; a missing key is anonymous, a missing project default, a missing counter 0.
+    """
+    kind = "api_key_id string, project_id string, counters struct<" + ", ".join(f"`{c}`: bigint" for c in counters) + ">"
+    rows = log.where(F.col(line).rlike(r"^\s*\{") & F.get_json_object(line, "$").isNotNull()).select(F.from_json(line, kind).alias("e"))
+    named = rows.select(F.coalesce("e.api_key_id", F.lit("anonymous")).alias("api_key_id"), F.coalesce("e.project_id", F.lit("default")).alias("project_id"), "e.counters")
+    return usage(named, {c: F.coalesce(F.col(f"counters.`{c}`"), F.lit(0)) for c in counters}, ["api_key_id", "project_id"])
+
+
+def meter(steps: DataFrame, run: str, at: str) -> DataFrame:
+    """A run's billable units, timings and result from one row a step, by run; of repeated steps units add up, and the last by at gives the timing and result.
+
+    steps: step (contract, report, contamination, decision, total), elapsed_ms, rows_in, bytes_in (report), checked_rows,
+    contamination (contamination), decision, exit_code (decision), contract_valid (contract).
+    """
+    own = lambda step, c: F.when(F.col("step") == step, F.col(c))
+    added = lambda step, c: F.coalesce(F.sum(own(step, c)), F.lit(0))
+    last = lambda step, c: F.max_by(F.col(c), own(step, at))
+    number = lambda step: F.count(own(step, "step"))
+    return steps.groupBy(run).agg(
+        added("report", "rows_in").alias("rows_in"), added("contamination", "checked_rows").alias("rows_out"), added("report", "bytes_in").alias("bytes_in"),
+        number("contamination").alias("contamination_checks"), number("report").alias("reports_generated"), number("decision").alias("decisions_generated"), number("contract").alias("contracts_validated"),
+        *[last(s, "elapsed_ms").alias(f"{s}_ms") for s in ("contract", "report", "contamination", "decision", "total")],
+        last("decision", "decision").alias("decision"), last("decision", "exit_code").alias("exit_code"), last("contamination", "contamination").alias("contamination"), last("contract", "contract_valid").alias("contract_valid"),
+    )
+
+
 def window(df: DataFrame, ts: str, now: Column, minutes: int) -> DataFrame:
     """The rows of the last so many minutes up to now."""
     return df.where((F.col(ts) >= now - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col(ts) <= now))

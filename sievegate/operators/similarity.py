@@ -189,28 +189,98 @@ def cosine_rows(weights: DataFrame, key: str, least: float = 0.90) -> DataFrame:
     return named.join(nodes, "h").join(hit, "node").select(F.col("id").alias(key)).distinct()
 
 
-def dense_cosine_pairs(df: DataFrame, key: str, vector: str, least: float = 0.90, blocks: int = 8) -> DataFrame:
-    """a, b, cosine of the pairs (a < b) of dense vectors that reach least.
+#: Vectors that the exhaustive cosine join's cells are named by, and vectors of a tile, about.
+PIVOTS, TILE = 64, 2048
 
-    Vectors on the unit sphere are ordered by their projection on one direction; two that reach least
-    lie within sqrt(2 - 2 * least) of each other there and on every other direction. Cells of that width
-    on two directions bring each pair together with its own or a neighbouring cell, so it is an equi-join.
-    """
-    width = (2 - 2 * least) ** 0.5 + 1e-9
-    unit = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+
+def _units(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """id, v: each different vector other than zero, of length 1, named by its smallest key."""
+    rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).groupBy("v").agg(F.min("id").alias("id"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = unit.withColumn("norm", norm).where("norm > 0").select("id", "norm", "v")
-
-    def cell(direction: int) -> Column:
-        sign = F.aggregate(F.transform("v", lambda x, i: x * F.when((i + direction) % (direction + 2) == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x)
-        return F.floor(sign / F.col("norm") / F.sqrt(F.size("v")) / width).cast("int")
-
-    placed = unit.select("id", "norm", "v", cell(0).alias("p"), cell(1).alias("q"))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    a = placed.select(F.col("id").alias("a"), F.col("norm").alias("m"), F.col("v").alias("x"), "p", "q")
-    b = placed.select(F.col("id").alias("b"), F.col("norm").alias("n"), F.col("v").alias("y"), F.explode(F.transform(near, lambda i: F.col("p") + i)).alias("p"), "q").select("b", "n", "y", "p", F.explode(F.transform(near, lambda i: F.col("q") + i)).alias("q"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    return a.join(b, ["p", "q"]).where("a < b").select("a", "b", (dot / (F.col("m") * F.col("n"))).alias("cosine")).where(F.col("cosine") >= least)
+    return rows.withColumn("norm", norm).where("norm > 0").select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def dense_cosine_pairs(df: DataFrame, key: str, vector: str, least: float = 0.90, recall: float | None = None, seed: int = 42) -> DataFrame:
+    """a, b, cosine of the pairs (a < b) of dense vectors of one dimension that reach least. Equal vectors are one node, named by the smallest key.
+
+    Exhaustive without recall: each vector goes to the nearest of PIVOTS vectors; two cells whose pivots lie further
+    apart than their radii and the widest distance of a pair are never compared, the others tile by tile, as products
+    of matrices. Vectors that don't gather in cells are all compared, so the work then grows with the square of the rows.
+    With recall, a pair of cosine least is found with that chance and a nearer one with a larger: the signs of random projections
+    are cut into bands, and pairs that share a band are verified. Its work grows with the rows and the pairs found.
+    """
+    units = written(_units(df, key, vector))
+    kind = units.schema["id"].dataType.simpleString()
+    return _by_signs(units, kind, least, recall, seed) if recall else _by_tiles(units, kind, least)
+
+
+def _by_tiles(units: DataFrame, kind: str, least: float) -> DataFrame:
+    pivots = np.array([r["v"] for r in units.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()])
+    if not len(pivots):
+        return units.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("cosine")).limit(0)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                like = _matrix(batch.column(1)) @ pivots.T
+                cell = like.argmax(axis=1)
+                far = np.sqrt(np.maximum(0, 2 - 2 * like[np.arange(len(cell)), cell]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["id", "v", "cell", "far"])
+
+    placed = written(units.select("id", "v").mapInArrow(place, f"id {kind}, v array<double>, cell int, far double"))
+    cells = {r["cell"]: (-(-r["n"] // TILE), r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # PIVOTS at most
+    widest = (2 - 2 * least) ** 0.5 + 1e-6
+    apart = lambda a, b: float(np.linalg.norm(pivots[a] - pivots[b]))
+    met = [(a, b, cells[a][0], cells[b][0]) for a in cells for b in cells if apart(a, b) <= cells[a][1] + cells[b][1] + widest]
+    reach = placed.sparkSession.createDataFrame(met, "cell int, other int, own long, tiles long")
+    tile = lambda cell, number: F.struct(cell.alias("cell"), number.alias("tile"))
+    mine = tile(F.col("cell"), F.pmod(F.xxhash64("id"), F.col("own")))
+    dealt = placed.select("id", "v", "cell").join(F.broadcast(reach), "cell").select("id", "v", mine.alias("at"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: tile(F.col("other"), t))).alias("to"))
+    dealt = dealt.select("id", "v", (F.col("at") <= F.col("to")).alias("low"), (F.col("at") == F.col("to")).alias("same"), F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y"))
+
+    def pairs(group: pa.Table) -> pa.Table:
+        batch = group.select(["id", "v", "low", "same"]).combine_chunks().to_batches()[0]
+        ids, v = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+        low = batch.column(2).to_numpy(zero_copy_only=False)
+        if batch.column(3)[0].as_py():
+            rows = cols = np.arange(len(ids))
+        else:
+            rows, cols = np.flatnonzero(low), np.flatnonzero(~low)
+        like = v[rows] @ v[cols].T
+        i, j = np.nonzero(like >= least)
+        a, b, c = ids[rows[i]], ids[cols[j]], like[i, j]
+        once = a < b if rows is cols else a != b
+        a, b, c = a[once], b[once], c[once]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "cosine": pa.array(np.minimum(c, 1.0))})
+
+    return dealt.groupBy("x", "y").applyInArrow(pairs, f"a {kind}, b {kind}, cosine double")
+
+
+def _by_signs(units: DataFrame, kind: str, least: float, recall: float, seed: int, bits: int = 16) -> DataFrame:
+    one = 1 - float(np.arccos(least)) / np.pi
+    bands = int(np.ceil(np.log(1 - recall) / np.log(1 - one**bits)))
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column(1))
+                planes = np.random.default_rng(seed).standard_normal((v.shape[1], bands * bits)) if planes is None else planes
+                up = (v @ planes >= 0).reshape(len(v), bands, bits)
+                at = (up * (1 << np.arange(bits))).sum(axis=2) + (np.arange(bands) << bits)
+                ends = np.arange(0, at.size + 1, bands, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.ravel()))], names=["id", "at"])
+
+    banded = units.select("id", "v").mapInArrow(signs, f"id {kind}, at array<long>").select("id", F.explode("at").alias("at"))
+    a, b = (banded.withColumnRenamed("id", c) for c in "ab")
+    x, y = (units.select(F.col("id").alias(c), F.col("v").alias(f"v_{c}")) for c in "ab")
+    dot = F.aggregate(F.zip_with("v_a", "v_b", lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+    pairs = a.join(b, "at").where("a < b").select("a", "b").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", F.least(F.lit(1.0), dot).alias("cosine")).where(F.col("cosine") >= least)
 
 
 def near_pairs(nodes: DataFrame, least: float) -> DataFrame:

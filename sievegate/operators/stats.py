@@ -8,15 +8,29 @@ from pyspark.sql import functions as F
 from sievegate.functions.text import strip, tokens
 
 
+#: Parts of a group's values that are sorted apart.
+PARTS = 64
+
+
 def order_stats(df: DataFrame, value: Column, picks: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """One row for each group of by: the values at the given places (SQL over n, from 0) of the sorted values, exactly.
 
-    Values are counted first, so the running sum sees a row for each distinct value and not for each row.
+    Values (numbers or times) are counted first, so the running sum sees a row for each distinct value and not for each row; approximate
+    percentiles then cut a group into PARTS ranges that are sorted apart. The cuts are the same for equal values, so they move no place.
     """
     by = by or []
     counts = df.select(*by, value.alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c"))
-    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    placed = counts.withColumn("n", F.sum("c").over(every)).withColumn("upto", F.sum("c").over(every.orderBy("v")))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 1000).alias("cuts"))
+    own = cuts.select(*[F.col(c).alias(f"__{c}") for c in by], "cuts")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    ranged = counts.join(own, same) if by else counts.crossJoin(F.broadcast(own))
+    ranged = ranged.select(*by, "v", "c", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("part"))
+    # a group has PARTS ranges at most, so numbering them takes no long sort
+    every = Window.partitionBy(*(by or [F.lit(0)]))
+    before = ranged.groupBy(*by, "part").agg(F.sum("c").alias("size")).withColumn("n", F.sum("size").over(every)).withColumn("before", F.sum("size").over(every.orderBy("part")) - F.col("size"))
+    before = before.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("part").alias("__part"), "n", "before")
+    inner = Window.partitionBy(*by, "part").orderBy("v")
+    placed = ranged.withColumn("inside", F.sum("c").over(inner)).join(before, [*same, F.col("part") == F.col("__part")]).withColumn("upto", F.col("before") + F.col("inside"))
     out = [F.max(F.when((F.col("upto") > F.expr(at)) & (F.col("upto") - F.col("c") <= F.expr(at)), F.col("v"))).alias(name) for name, at in picks.items()]
     return placed.groupBy(*by).agg(*out)
 

@@ -51,6 +51,18 @@ def diversity(found: DataFrame) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).agg(F.round(F.coalesce(F.avg(distance), F.lit(0.0)), 4).alias("diversity"))
 
 
+def coherence(assigned: DataFrame) -> DataFrame:
+    """topic, size, coherence: the mean cosine of two of the topic's rows, 0 for one alone, from their unit weights (a map).
+
+    The square of the rows' sum holds the product of every pair, so all rows count and no pairs are made.
+    """
+    sizes = assigned.groupBy("topic").agg(F.count("*").alias("size"))
+    sums = assigned.select("topic", F.explode("weights").alias("term", "w")).groupBy("topic", "term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    whole = sums.groupBy("topic").agg((F.sum(F.col("s") * F.col("s")) - F.sum("q")).alias("pairs"))
+    mean = F.col("pairs") / (F.col("size") * (F.col("size") - 1))
+    return sizes.join(whole, "topic", "left").select("topic", "size", F.when(F.col("size") > 1, F.coalesce(mean, F.lit(0.0))).otherwise(0.0).alias("coherence"))
+
+
 def judged_score(learned: Column, judge: Column) -> Column:
     """The learned score and a judge's, 7 to 3, cut to a whole number."""
     return F.floor(learned * 0.7 + judge * 0.3).cast("long")

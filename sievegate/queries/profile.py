@@ -193,26 +193,32 @@ def class_imbalance(spark, sf_dir):
     return quality.class_balance(table(spark, sf_dir, "labels"), "quality")
 
 
-_ISSUES = f"""
-with rep as ({_REPEATED}), d as (select doc_id, length({STRIPPED}) as n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w, coalesce(text, '') as t from documents
+def issues_sql(source: str = "documents", near: str | None = None) -> str:
+    """The issues i of a table; near selects the doc_id of near duplicates."""
+    return f"""
+with rep as ({_REPEATED.replace('from documents', f'from {source}')}), d as (select doc_id, length({STRIPPED}) as n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w, coalesce(text, '') as t from {source}
 ), s as (select avg(w) as m, stddev_pop(w) as sd, count(*) as total from d
 ), f as (
   select doc_id, 'empty_or_low_info' as category from d where n < 10
   union all select doc_id, 'encoding_issue' from d where regexp_matches(t, '[Ã¢â€ï¿½Â]|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')
   union all select doc_id, 'repetition' from rep
-  union all select doc_id, 'length_outlier' from d, s where sd > 0 and abs(w - m) > 2 * sd
+  union all select doc_id, 'length_outlier' from d, s where sd > 0 and abs(w - m) > 2 * sd{f' union all select doc_id, {chr(39)}near_duplicate{chr(39)} from ({near})' if near else ''}
 ), i as (
-  select category, case when category = 'empty_or_low_info' and count(*) / max(total) > 0.05 then 'error' else 'warning' end as severity, count(*) as "count",
+  select category, case when category = 'empty_or_low_info' and count(*) / max(total) > 0.05 or category = 'near_duplicate' and count(*) / max(total) >= 0.1 then 'error' else 'warning' end as severity, count(*) as "count",
     count(*) / max(total) as fraction, list(doc_id order by doc_id)[1:5] as sample from f, s group by category
 )"""
 
 
+_ISSUES = issues_sql()
+PENALTY = "select greatest(0, least(100, floor(100 - coalesce(sum(least(25, case severity when 'error' then 15 else 5 end * fraction * 100)), 0))))::bigint as quality_score from i"
+
+
 @query("quality_issues", f"{_ISSUES} select * from i")
 def quality_issues(spark, sf_dir):
     return quality.issues(documents(spark, sf_dir), "doc_id")
 
 
-@query("quality_score", f"{_ISSUES} select greatest(0, least(100, floor(100 - coalesce(sum(least(25, case severity when 'error' then 15 else 5 end * fraction * 100)), 0))))::bigint as quality_score from i")
+@query("quality_score", f"{_ISSUES} {PENALTY}")
 def quality_score(spark, sf_dir):
     return quality.penalty_score(quality.issues(documents(spark, sf_dir), "doc_id"))
 
@@ -315,6 +321,11 @@ def stripped_lengths(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.length(strip(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("n"))
 
 
-@query("transform_chain")
+_PASSED = f"""with red as (select doc_id, {_redacted('text')} as text from documents
+), lab as (select doc_id, text, case when {_count(filters.POSITIVE)} > {_count(filters.NEGATIVE)} then 'positive' when {_count(filters.POSITIVE)} < {_count(filters.NEGATIVE)} then 'negative' end as label from red
+), kept as (select * from lab where doc_id in (select min(doc_id) from red group by lower({STRIPPED})))"""
+
+
+@query("transform_chain", f"{_PASSED} select doc_id, label from kept where doc_id in (select doc_id from ({_REJECT.replace('from documents', 'from kept')}) where reason is null)")
 def transform_chain(spark, sf_dir):
     return transform.transform(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", longest=4096).select("doc_id", "label")

@@ -96,12 +96,12 @@ def fuzzy_dedupe(spark, sf_dir):
     return similarity.fuzzy_dedupe(documents(spark, sf_dir), "doc_id", words, 0.85).select(F.col("id").alias("doc_id"))
 
 
-@query("sample_rows")
+@query("sample_rows", "select doc_id from documents order by sha256('42:' || doc_id), doc_id limit 100")
 def sample_rows(spark, sf_dir):
     return readers.sample(documents(spark, sf_dir).select("doc_id"), "doc_id", 100)
 
 
-@query("split_rows")
+@query("split_rows", "select doc_id, source, case when draw < 0.8 then 'train' when draw < 0.9 then 'val' else 'test' end as split from (select doc_id, source, ('0x' || sha256('42:' || doc_id)[1:8])::bigint / 4294967296 as draw from documents)")
 def split_rows(spark, sf_dir):
     return readers.split(documents(spark, sf_dir).select("doc_id", "source"), "doc_id", {"train": 0.8, "val": 0.1, "test": 0.1})
 

@@ -57,7 +57,13 @@ def bleu(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "pair", F.round(evaluation.bleu(F.col("user"), F.col("assistant")), 9).alias("bleu"))
 
 
-@query("rouge_l")
+@query(
+    "rouge_l",
+    f"""{_scored_sql().replace("with s as", "with recursive s as", 1)}, l as (select conv_id, pair, p, r, 0::bigint as i, list_transform(r, lambda x: 0) as v from sc
+  union all select conv_id, pair, p, r, i + 1, list_transform(range(1, len(u) + 1), lambda j: list_max(u[1:j]))
+  from (select *, list_transform(range(1, len(r) + 1), lambda j: greatest(v[j], case when r[j] = p[i + 1] then coalesce(v[j - 1], 0) + 1 else 0 end)) as u from l where i < len(p) and len(r) > 0))
+select conv_id, pair, case when len(p) = 0 or len(r) = 0 then (len(p) = len(r))::int::double else 2 * v[len(r)] / (len(p) + len(r)) end as rouge_l from l where i = len(p) or len(r) = 0""",
+)
 def rouge_l(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "pair", evaluation.rouge_l(F.col("user"), F.col("assistant")).alias("rouge_l"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievegate.functions import sketch
+from sievegate.functions import patterns, sketch
 from sievegate.functions.text import strip, tokens, word_ngrams
 from sievegate.operators import decision, gates, similarity
 from sievegate.plans import gate
-from sievegate.queries.registry import STRIPPED, TOKENS, documents, grams, held, query, table, train
+from sievegate.queries.profile import PENALTY, issues_sql
+from sievegate.queries.registry import ORACLE, STRIPPED, TOKENS, documents, grams, held, query, table, train
 
 _EXACT = f"""exact as (
   select e.doc_id as eval_id, max(t.doc_id) as train_id from documents e join documents t on {STRIPPED.replace("text", "e.text")} = {STRIPPED.replace("text", "t.text")}
@@ -233,14 +234,26 @@ def judge_entropy(spark, sf_dir):
 
 @query(
     "dense_cosine_pairs",
-    "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as cosine from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.90",
+    "with n as (select min(vec_id) as vec_id, embedding from embeddings group by embedding) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as cosine from n a join n b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.90",
 )
 def dense_cosine_pairs(spark, sf_dir):
     found = similarity.dense_cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.90)
     return found.select("a", "b", F.round("cosine", 9).alias("cosine"))
 
 
-@query("gate")
+_PII_HITS = " + ".join(f"count(*) filter (where regexp_matches(coalesce(text, ''), '{p}'))" for p, _ in patterns.PII.values())
+_NEAR_TRAIN = ORACLE["near_dup_rows"].replace("from documents", "from train")
+
+
+@query(
+    "gate",
+    f"""with train as (select * from documents where doc_id % 5 <> 0), pii as (select {_PII_HITS} as pii_hits from train), score as ({issues_sql("train", _NEAR_TRAIN)} {PENALTY}
+), found as ({ORACLE["contamination_lsh"]}), n as (select count(*) filter (where kind = 'exact') as exact, count(*) filter (where kind = 'near') as near, (select count(*) from documents where doc_id % 5 = 0) as eval_rows from found
+), g as (select pii_hits, quality_score as quality, case when exact > 0 then 'FAIL' when near / eval_rows > 0.15 then 'WARN' else 'PASS' end as contamination, exact, near, eval_rows from pii, score, n
+), b as (select *, list_filter([case when pii_hits > 0 then 'pii_violation' end, case when contamination = 'FAIL' then 'contamination_fail' end], lambda x: x is not null) as blockers, contamination = 'WARN' as warned from g)
+select pii_hits, quality, contamination, exact, near, eval_rows, case when len(blockers) > 0 then 'DONT_SHIP' when warned then 'INVESTIGATE' else 'SHIP' end as recommendation, case when len(blockers) > 0 then 1 when warned then 2 else 0 end as exit_code,
+  round(case when len(blockers) > 0 then least(0.3, 0.1 * len(blockers)) when warned then 0.7 else 0.92 end::double, 2) as confidence, blockers, case when warned then list_append(blockers, 'contamination_warn') else blockers end as flags from b""",
+)
 def full_gate(spark, sf_dir):
     return gate.run(train(spark, sf_dir), held(spark, sf_dir), decision.Criteria(max_pii_hits=0, min_f1=0.6), f1=0.7)
 

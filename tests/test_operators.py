@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegate.functions import patterns, sketch, text
-from sievegate.operators import decision, evaluation, filters, gates, governance, history, metering, quality, records, similarity, stats
+from sievegate.operators import decision, evaluation, filters, gates, governance, history, metering, quality, records, similarity, stats, synthetic, topics
 from sievegate.plans import gate, ingest
 from sievegate.sources import readers, sinks
 from sievegate.streaming import windows
@@ -388,3 +388,95 @@ def test_topics_of_rare_terms(spark):
     found = topics.assign(df, "doc_id")
     assert found.count() == df.count() == 14
     assert found.where(F.map_contains_key("weights", F.lit("scarce"))).count() == 1
+
+
+def test_order_stats_of_many_values_and_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 5 == 0 else "g" if i % 5 < 4 else "h", float(v)) for i, v in enumerate(rng.integers(0, 900, 3000) / 7)] + [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    picks = {"least": "0", "middle": "floor(n / 2)", "last": "n - 1", "before": "-1"}
+    got = {r["k"]: tuple(r)[1:] for r in stats.order_stats(df, F.col("v"), picks, ["k"]).collect()}
+    for k in (None, "g", "h", "one"):
+        own = sorted(v for x, v in rows if x == k)
+        assert got.pop(k) == (own[0], own[len(own) // 2], own[-1], None)
+    assert not got
+    every = sorted(v for _, v in rows if v is not None)
+    assert tuple(stats.order_stats(df, F.col("v"), picks).first()) == (every[0], every[len(every) // 2], every[-1], None)
+
+
+def _vectors(n, copies, seed=1):
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, 24))
+    near = v[:copies] + 0.2 * rng.standard_normal((copies, 24))
+    rows = [*np.concatenate([v, near, v[:5]]).tolist(), [0.0] * 24]
+    return [(i, x) for i, x in enumerate(rows)]
+
+
+def _cosines(rows, least):
+    v = np.array([x for _, x in rows[: len(rows) - 6]])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    like = v @ v.T
+    return {(a, b) for a, b in zip(*np.nonzero(like >= least), strict=True) if a < b}
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_dense_cosine_pairs_exhaustively(spark, monkeypatch, tile):
+    monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "PIVOTS", 5)
+    rows = _vectors(150, 60)
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for least in (0.9, 0.5):
+        got = [(r["a"], r["b"]) for r in similarity.dense_cosine_pairs(df, "id", "v", least).collect()]
+        assert len(got) == len(set(got)) and set(got) == _cosines(rows, least)
+    assert similarity.dense_cosine_pairs(df.limit(0), "id", "v").count() == 0
+
+
+def test_dense_cosine_pairs_by_signs(spark):
+    rows = _vectors(400, 300)
+    found = {(r["a"], r["b"]) for r in similarity.dense_cosine_pairs(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.9, recall=0.95).collect()}
+    want = _cosines(rows, 0.9)
+    assert found <= want and len(found) >= 0.95 * len(want) > 100
+
+
+def test_synthetic_rows(spark):
+    q = " ".join(f"w{i}" for i in range(12))
+    other = " ".join(f"x{i}" for i in range(12))
+    rows = [(1, q, "a b c"), (2, q, "a b c"), (3, q + " more", "a b c"), (4, "too few", "a b c"), (5, q, "a"), (6, q, "a " * 201), (7, other, "a b c"), (8, other, "a b c"), (9, None, None), (10, " ".join(f"y{i}" for i in range(12)), "a b c")]
+    df = spark.createDataFrame(rows, "id long, question string, answer string")
+    seeds = spark.createDataFrame([(other,), (None,), ("short",)], "question string")
+    got = {r["id"]: r["reason"] for r in synthetic.rejection(df, seeds, "id").collect()}
+    assert got == {1: None, 2: "exact_duplicate", 3: "near_duplicate", 4: "question_too_short", 5: "answer_too_short", 6: "answer_too_long", 7: "ngram_overlap", 8: "ngram_overlap", 9: "question_too_short", 10: None}
+    assert synthetic.rejection(df.limit(0), seeds, "id").count() == 0
+    human = spark.createDataFrame([(1, q, "x"), (2, q, "a b c"), (3, "none", "y")], "id long, question string, answer string")
+    assert tuple(synthetic.answer_difference(df, human, "id").first()) == (4, 2, 2, True)
+    parts = {r["id"]: r["contamination"] for r in synthetic.contaminated_split(df, "id", 0.35, F.col("question"), F.lit(None), F.col("answer")).collect()}
+    assert [k for k, v in sorted(parts.items()) if v == "pure_ai"] == [1, 2, 3] and len(parts) == 10
+    assert {r["contamination"] for r in synthetic.contaminated_split(df, "id", 0.05, F.col("question"), F.lit(None), F.col("answer")).collect()} == {"paraphrased"}
+    scores = spark.createDataFrame([("b", 1, 0.5), ("a_Human", 2, 0.75), ("human", 3, 0.1)], "model string, k long, f1 double")
+    assert {r["model"]: r["gap"] for r in synthetic.performance_gap(scores, "model", "f1", "k").collect()} == {"b": -0.25, "a_Human": 0.0, "human": pytest.approx(-0.65)}
+    assert synthetic.performance_gap(scores.where("k = 1"), "model", "f1", "k").first()["gap"] == 0.0
+
+
+def test_coherence_is_the_mean_of_all_pairs(spark):
+    rows = [(0, {"a": 1.0}), (0, {"a": 0.6, "b": 0.8}), (0, {"b": 1.0}), (1, {"c": 1.0}), (2, {"a": 1.0}), (2, {"b": 1.0})]
+    got = {r["topic"]: (r["size"], round(r["coherence"], 9)) for r in topics.coherence(spark.createDataFrame(rows, "topic int, weights map<string,double>")).collect()}
+    assert got == {0: (3, round((0.6 + 0.0 + 0.8) / 3, 9)), 1: (1, 0.0), 2: (2, 0.0)}
+
+
+def test_usage_replay_and_meter(spark):
+    lines = ['{"api_key_id": "k", "counters": {"n": 2}}', '{"api_key_id": "k", "project_id": "default", "counters": {"n": 3, "m": 1}}', '{"counters": {}}', "", "  ", "{broken", "[1]", None]
+    got = sorted(map(tuple, metering.replay(spark.createDataFrame([(x,) for x in lines], "value string"), ["n", "m"]).collect()))
+    assert got == [("anonymous", "default", 1, 0, 0), ("k", "default", 2, 5, 1)]
+    steps = "run string, at long, step string, elapsed_ms long, rows_in long, bytes_in long, checked_rows long, contamination string, decision string, exit_code int, contract_valid boolean"
+    rows = [("r", 1, "report", 5, 10, 100, None, None, None, None, None), ("r", 2, "report", 7, 1, 1, None, None, None, None, None), ("r", 3, "contamination", 2, 99, 99, 4, "PASS", None, None, None)]
+    one = metering.meter(spark.createDataFrame(rows, steps), "run", "at").first()
+    assert (one["rows_in"], one["rows_out"], one["bytes_in"], one["reports_generated"], one["report_ms"], one["contamination"], one["decision"], one["total_ms"]) == (11, 4, 101, 2, 7, "PASS", None, None)
+
+
+def test_run_contract_and_tag_deltas(spark):
+    whole = [("a", f, None) for f in (*governance.RUN_FILES, governance.EVAL_FILES[1])]
+    rows = [*whole, ("a", "run_meta.json", '{"status": "completed"}'), ("b", "config.yaml", None), ("b", "run_meta.json", "{")]
+    got = {r["run"]: tuple(r)[1:] for r in governance.run_contract(spark.createDataFrame(rows, "run string, name string, body string")).collect()}
+    assert got == {"a": (True, True, []), "b": (False, False, ["hashes.json", "environment.json", "eval/eval_results.json", "run_meta.json"])}
+    a, b = (spark.createDataFrame(x, "t string") for x in ([("x",), ("x",), (None,)], [("x",), ("y",)]))
+    assert sorted(map(tuple, gates.tag_deltas(a, b, ["t"]).collect())) == [("t", "x", -1), ("t", "y", 1)]

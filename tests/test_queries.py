@@ -13,7 +13,7 @@ from sievegate import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: These take long in DuckDB; the driver runs them at its own size.
-SLOW = {"contamination_lsh", "minhash_signature", "near_dup_rows", "fingerprint", "fingerprint_diff"}
+SLOW = {"gate", "contamination_lsh", "minhash_signature", "near_dup_rows", "fingerprint", "fingerprint_diff"}
 
 
 @pytest.fixture(scope="module")
