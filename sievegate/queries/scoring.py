@@ -68,6 +68,11 @@ def rouge_l(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "pair", evaluation.rouge_l(F.col("user"), F.col("assistant")).alias("rouge_l"))
 
 
+@query("rouge_1", f"{_scored_sql()} select conv_id, pair, round(f1, 9) as rouge_1 from sc")
+def rouge_1(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "pair", F.round(evaluation.rouge_1(F.col("user"), F.col("assistant")), 9).alias("rouge_1"))
+
+
 @query("eval_mean", f"{_scored_sql()} select count(*) as n, round(avg(f1), 9) as f1 from sc")
 def eval_mean(spark, sf_dir):
     return scored(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg("f1"), 9).alias("f1"))

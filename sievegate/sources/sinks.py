@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 
@@ -49,9 +51,11 @@ def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], single: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, columns: list[str], single: bool = False, sep: str = ",") -> None:
+    """With a header; quotes are doubled and spaces kept, as read_csv takes them."""
     out = df.select(*columns)
-    (out.coalesce(1) if single else out).write.mode("overwrite").csv(path, header=True)
+    writer = (out.coalesce(1) if single else out).write.mode("overwrite")
+    writer.csv(path, header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def bucketed(df: DataFrame, least: int = 1, schema: str = "unknown") -> DataFrame:
@@ -79,6 +83,34 @@ def write_artifact(df: DataFrame, path: str, report: DataFrame) -> DataFrame:
     return spark.read.schema(files.schema).json(f"{path}/hashes.json")
 
 
+def write_transform(df: DataFrame, path: str, transform: str, config: dict[str, object], tags: list[str]) -> DataFrame:
+    """A transform's dataset, frozen config, meta and hashes under a folder; returns the meta's row.
+
+    meta: transform, rows, row_schema (name: type, by name), tag_distribution (JSON: tag, value, n, in order), config_sha256 and chain_hash over the
+    dataset's and the config's files. tags should have few values each, as their counts are one cell.
+    """
+    from sievegate.operators.history import chain_hash
+    from sievegate.operators.stats import tag_distribution
+    from sievegate.sources.readers import file_hashes
+
+    spark = df.sparkSession
+    frozen = json.dumps(config, sort_keys=True)
+    write_jsonl(df, f"{path}/dataset.jsonl")
+    spark.createDataFrame([(frozen,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/transform_config.json")
+    files = file_hashes(spark, f"{path}/dataset.jsonl/*.json").unionByName(file_hashes(spark, f"{path}/transform_config.json/*.txt"))
+    write_jsonl(files, f"{path}/hashes.json", single=True)
+    files = spark.read.schema(files.schema).json(f"{path}/hashes.json")
+    # names follow the files' order, for Spark draws the files' own anew for each run
+    chain = chain_hash(files, F.element_at(F.split("path", "/"), -2), F.col("sha256"))
+    rows = spark.read.schema(df.schema).json(f"{path}/dataset.jsonl")
+    counts = tag_distribution(rows, tags).agg(F.to_json(F.array_sort(F.collect_list(F.struct("tag", "value", "n")))).alias("tag_distribution"))
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in sorted(df.schema, key=lambda f: f.name))
+    fixed = [F.lit(v).alias(n) for n, v in (("transform", transform), ("row_schema", kinds), ("config_sha256", hashlib.sha256(frozen.encode()).hexdigest()))]
+    meta = rows.agg(F.count("*").alias("rows")).crossJoin(counts).crossJoin(chain).select("rows", "tag_distribution", "chain_hash", *fixed)
+    write_jsonl(meta, f"{path}/transform_meta.json", single=True)
+    return spark.read.schema(meta.schema).json(f"{path}/transform_meta.json")
+
+
 def append_events(df: DataFrame, path: str) -> None:
     """Events after those that a log has already; a replay is a re-aggregation of the log."""
     df.write.mode("append").json(path)

@@ -10,6 +10,8 @@ import pandas as pd
 import pytest
 
 from sievegate import catalog
+from sievegate.operators import topics
+from sievegate.queries.registry import documents
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: These take long in DuckDB; the driver runs them at its own size.
@@ -51,10 +53,37 @@ def test_oracle(spark, duck, sf_dir, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in catalog.oracle_sql()])
-def test_rows(spark, sf_dir, name):
-    df = catalog.queries()[name](spark, sf_dir)
-    assert df.columns and df.count() >= 0
+def test_only_clusters_have_no_oracle():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"topics", "topic_diversity", "topic_coherence"}
+
+
+def test_topics_against_plain_loops(spark, sf_dir):
+    """What is made of the clusters, and that each document is in the cluster whose mean is nearest."""
+    made = topics.assign(documents(spark, sf_dir), "doc_id")
+    rows = [(r["doc_id"], r["topic"], r["weights"]) for r in made.collect()]
+    assigned = spark.createDataFrame(rows, made.schema)
+    by = {}
+    for _, topic, weights in rows:
+        by.setdefault(topic, []).append(weights)
+    cosine = lambda a, b: sum(w * b.get(t, 0.0) for t, w in a.items())
+    sums = {}
+    for topic, own in by.items():
+        for weights in own:
+            for t, w in weights.items():
+                sums.setdefault(topic, {})[t] = sums.get(topic, {}).get(t, 0.0) + w
+    top = {k: [t for t, _ in sorted(v.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]] for k, v in sums.items()}
+    got = {r["topic"]: (r["size"], r["terms"]) for r in topics.topics(assigned).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in by.items()} and {k: sorted(v[1]) for k, v in got.items()} == {k: sorted(v) for k, v in top.items()}
+    close = {r["topic"]: r["coherence"] for r in topics.coherence(assigned).collect()}
+    for k, own in by.items():
+        pairs = [cosine(a, b) for i, a in enumerate(own) for b in own[:i]]
+        assert close[k] == pytest.approx(np.mean(pairs) if pairs else 0.0, abs=1e-9)
+    sets = [set(v) for v in top.values()]
+    apart = [1 - len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert topics.diversity(topics.topics(assigned)).first()["diversity"] == pytest.approx(np.mean(apart), abs=1e-4)
+    unit = {k: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()} for k, v in sums.items()}
+    nearest = [max(unit, key=lambda k: cosine(w, unit[k])) == topic for _, topic, w in rows]
+    assert np.mean(nearest) >= 0.95
 
 
 def test_entry(spark):
