@@ -141,7 +141,7 @@ def _secret_sql() -> str:
     rows = " union all ".join(f"select '{k}' as type, '{s}' as severity, doc_id, unnest(regexp_extract_all(line, '{p}', 0)) as hit from lines" for k, (p, s) in quoted.items())
     return f"""
 with lines as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), hits as ({rows})
-select type, severity, count(*) as hits, count(distinct doc_id) as rows from hits where not regexp_matches(hit, '{patterns.LET_THROUGH}') group by type, severity
+select type, severity, count(*) as hits, count(distinct doc_id) as rows from hits where not regexp_matches(hit, '{patterns.HARMLESS}') group by type, severity
 """
 
 
@@ -149,7 +149,7 @@ select type, severity, count(*) as hits, count(distinct doc_id) as rows from hit
 def secret_audit(spark, sf_dir):
     lines = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     found = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(s).alias("severity"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("hits")) for k, (p, s) in patterns.SECRETS.items()])
-    hits = lines.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.type", "x.severity", F.explode("x.hits").alias("hit")).where(~F.col("hit").rlike(patterns.LET_THROUGH))
+    hits = lines.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.type", "x.severity", F.explode("x.hits").alias("hit")).where(~F.col("hit").rlike(patterns.HARMLESS))
     return hits.groupBy("type", "severity").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("rows"))
 
 
