@@ -212,6 +212,46 @@ def buckets(df: DataFrame, schema: str | None = None) -> DataFrame:
     return counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("total")))).select("schema", "category", "count", (F.col("count") / F.col("total")).alias("fraction"))
 
 
+#: The fields that training asks for, by task; and where a question, context and answer may stand.
+TRAINED = {"sft": ("instruction", "output"), "classification": ("text", "label")}
+QUESTION, CONTEXT, ANSWER = ("question", "input", "text"), ("context", "passage"), ("answer", "output", "target")
+
+
+def trainable(df: DataFrame, task: str) -> DataFrame:
+    """df, if its columns have the task's fields; else a ValueError names those it lacks. Values may be blank."""
+    lacking = [c for c in TRAINED[task] if c not in df.columns]
+    if lacking:
+        raise ValueError(f"missing fields {lacking} for task {task!r}")
+    return df
+
+
+def experiment_rows(df: DataFrame, key: str, split: str, kind: str = "generic") -> DataFrame:
+    """id (split and key), question, context, answer, content_hash of a dataset's rows; what is missing is empty.
+
+    kind "squad": the first of answers.text. "cosmos_qa": the answer column that label numbers. Else the first of QUESTION, CONTEXT
+    and ANSWER that is a column; an array, or a struct's text array, gives its first element.
+    """
+    has = lambda names: next((c for c in names if c in df.columns), None)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
+
+    def first(column: Column, type_: T.DataType) -> Column:
+        if isinstance(type_, T.StructType) and "text" in type_.names:
+            return first(column["text"], type_["text"].dataType)
+        return F.coalesce((F.get(column, 0) if isinstance(type_, T.ArrayType) else column).cast("string"), F.lit(""))
+
+    if kind == "cosmos_qa":
+        numbered = [c for c in df.columns if c.startswith("answer") and c[6:].isdigit()]
+        label = F.coalesce(F.col("label").cast("int"), F.lit(0)) if "label" in df.columns else F.lit(0)
+        answer = F.coalesce(*[F.when(label == int(c[6:]), F.col(c)) for c in numbered], F.lit(""))
+    else:
+        name = has(("answers",) if kind == "squad" else ANSWER)
+        answer = first(F.col(name), df.schema[name].dataType) if name else F.lit("")
+    question = text(has(("question",) if kind != "generic" else QUESTION))
+    context = text(has(("context",) if kind != "generic" else CONTEXT))
+    parts = df.select(F.concat_ws("_", F.lit(split), F.col(key).cast("string")).alias("id"), question.alias("question"), context.alias("context"), answer.alias("answer"))
+    return parts.withColumn("content_hash", F.sha2(F.concat_ws("|||", "question", "context", "answer"), 256))
+
+
 def mostly_ascii(text: Column) -> Column:
     """Whether nine tenths of the characters are ASCII; an empty text is."""
     n = F.length(text)

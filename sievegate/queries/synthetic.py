@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievegate.operators import gates, governance, metering, synthetic, topics
+from sievegate.operators import gates, governance, metering, models, records, synthetic, topics
 from sievegate.queries.records import _CHAT
 from sievegate.queries.registry import documents, grams, held, query, table, train
 from sievegate.queries.scoring import pairs
@@ -136,3 +136,36 @@ def embedding_coherence(spark, sf_dir):
 @query("topic_coherence")
 def topic_coherence(spark, sf_dir):
     return topics.coherence(topics.assign(documents(spark, sf_dir), "doc_id"))
+
+
+def _canned(prompts):
+    """Stands in for a model: an answer in one of five forms by the prompt's number."""
+    out = []
+    for number, lang in (p.split("|") for p in prompts):
+        whole = f'{{"text": "row {number} ", "label": "{lang}"}}'
+        out.append([whole, f"Here:\n```json\n{whole}\n```\nDone.", f"I would say {whole} here", "I can't tell.", '{"text": "no label"}'][int(number) % 5])
+    return out
+
+
+@query("model_labels", "select doc_id, case when doc_id % 5 < 3 then 'row ' || doc_id end as text, case when doc_id % 5 < 3 then coalesce(lang, '') end as label from documents")
+def model_labels(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.coalesce("lang", F.lit(""))).alias("prompt"))
+    made = models.answered(rows, F.col("prompt"), _canned)
+    return made.select("doc_id", models.parsed(F.col("answer"), ("text", "label")).alias("p")).select("doc_id", "p.text", "p.label")
+
+
+@query(
+    "experiment_rows",
+    """with x as (select doc_id, coalesce(source, '') as question, coalesce(text, '') as context, case when doc_id % 4 > 0 then coalesce(lang, '') else '' end as answer, 'squad' as kind from documents
+  union all select doc_id, coalesce(source, ''), coalesce(text, ''), case doc_id % 3 when 0 then 'zero' when 1 then coalesce(lang, '') else '' end, 'cosmos_qa' from documents
+  union all select doc_id, coalesce(text, ''), '', coalesce(lang, ''), 'generic' from documents)
+select kind, 'train_' || doc_id as id, answer, sha256(question || '|||' || context || '|||' || answer) as content_hash from x""",
+)
+def experiment_rows(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    base = d.select("doc_id", F.col("source").alias("question"), F.col("text").alias("context"), "lang")
+    squad = base.withColumn("answers", F.struct(F.when(F.col("doc_id") % 4 > 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("text")))
+    cosmos = base.withColumns({"label": F.col("doc_id") % 3, "answer0": F.lit("zero"), "answer1": F.col("lang")})
+    generic = d.select("doc_id", "text", F.array("lang").alias("output"))
+    made = [records.experiment_rows(x, "doc_id", "train", k).select(F.lit(k).alias("kind"), "id", "answer", "content_hash") for x, k in ((squad, "squad"), (cosmos, "cosmos_qa"), (generic, "generic"))]
+    return made[0].unionByName(made[1]).unionByName(made[2])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegate.functions import patterns, sketch, text
-from sievegate.operators import decision, evaluation, filters, gates, governance, history, metering, quality, records, similarity, stats, synthetic, topics
+from sievegate.operators import decision, evaluation, filters, gates, governance, history, metering, models, quality, records, similarity, stats, synthetic, topics
 from sievegate.plans import gate, ingest
 from sievegate.sources import readers, sinks
 from sievegate.streaming import windows
@@ -480,3 +480,22 @@ def test_run_contract_and_tag_deltas(spark):
     assert got == {"a": (True, True, []), "b": (False, False, ["hashes.json", "environment.json", "eval/eval_results.json", "run_meta.json"])}
     a, b = (spark.createDataFrame(x, "t string") for x in ([("x",), ("x",), (None,)], [("x",), ("y",)]))
     assert sorted(map(tuple, gates.tag_deltas(a, b, ["t"]).collect())) == [("t", "x", -1), ("t", "y", 1)]
+
+
+def test_parsed_answers(spark):
+    rows = ['{"text": " a ", "label": 1}', "```\n{\"text\": \"a\", \"label\": \"b\"}\n```", 'x {"text": "a", "label": "b"} y', "none", '{"text": "a"}', "", None, '{"text": null, "label": "b"}', "```{broken```"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, answer string")
+    got = [r["p"] and tuple(r["p"]) for r in df.select("i", models.parsed(F.col("answer"), ("text", "label")).alias("p")).orderBy("i").collect()]
+    assert got == [("a", "1"), ("a", "b"), ("a", "b"), None, None, None, None, None, None]
+    asked = models.answered(df, F.col("answer"), lambda xs: [x and x[:1] for x in xs], into="short")
+    assert [r["short"] for r in asked.orderBy("i").collect()][:4] == ["{", "`", "x", "n"] and models.answered(df.limit(0), F.col("answer"), list).count() == 0
+
+
+def test_experiment_rows_and_training_fields(spark):
+    df = spark.createDataFrame([(1, None, ["a", "b"]), (2, "q", [])], "k long, input string, target array<string>")
+    got = {r["id"]: r for r in records.experiment_rows(df, "k", "val").collect()}
+    assert (got["val_1"]["question"], got["val_1"]["answer"], got["val_2"]["answer"]) == ("", "a", "")
+    assert got["val_2"]["content_hash"] == hashlib.sha256(b"q||||||").hexdigest()
+    assert records.trainable(df.withColumnsRenamed({"input": "instruction", "target": "output"}), "sft").count() == 2
+    with pytest.raises(ValueError, match="label"):
+        records.trainable(df.withColumn("text", F.lit("")), "classification")
