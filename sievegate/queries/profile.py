@@ -39,7 +39,7 @@ def field_stats_orders(spark, sf_dir):
     return stats.field_stats(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-_VOCAB = f"""
+VOCAB = f"""
 with d as (select {TOKENS} as w from documents), v as (select word, count(*) as c from (select unnest(w) as word from d) group by word
 ), l as (select len(w)::bigint as n, row_number() over (order by len(w)) - 1 as i, count(*) over () as t from d)
 select (select sum(c)::bigint from v) as total_tokens, (select count(*) from v) as unique_tokens, (select count(*) from v where c = 1) as hapax_legomena,
@@ -49,7 +49,7 @@ select (select sum(c)::bigint from v) as total_tokens, (select count(*) from v)
 """
 
 
-@query("vocab_stats", _VOCAB)
+@query("vocab_stats", VOCAB)
 def vocab_stats(spark, sf_dir):
     return stats.vocab_stats(documents(spark, sf_dir))
 
@@ -193,8 +193,12 @@ def class_imbalance(spark, sf_dir):
     return quality.class_balance(table(spark, sf_dir, "labels"), "quality")
 
 
-def issues_sql(source: str = "documents", near: str | None = None) -> str:
-    """The issues i of a table; near selects the doc_id of near duplicates."""
+def issues_sql(source: str = "documents", near: str | None = None, semantic: str | None = None, label: str | None = None) -> str:
+    """The issues i of a table; near and semantic select the doc_id of duplicates, label is a column of classes."""
+    also = lambda name, rows: f" union all select doc_id, '{name}' from ({rows})" if rows else ""
+    classes = f"""
+  union all select 'class_imbalance', 'warning', minority, minority / classes, []::bigint[] from (select count(*) filter (where n / labelled < 0.05) as minority, count(*) as classes, max(labelled) as labelled
+    from (select count(*) as n, sum(count(*)) over () as labelled from {source} where {label} is not null group by {label})), (select max(total) as total from s) where minority > 0 and classes > 1 and labelled >= total * 0.5"""
     return f"""
 with rep as ({_REPEATED.replace('from documents', f'from {source}')}), d as (select doc_id, length({STRIPPED}) as n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as w, coalesce(text, '') as t from {source}
 ), s as (select avg(w) as m, stddev_pop(w) as sd, count(*) as total from d
@@ -202,42 +206,16 @@ with rep as ({_REPEATED.replace('from documents', f'from {source}')}), d as (sel
   select doc_id, 'empty_or_low_info' as category from d where n < 10
   union all select doc_id, 'encoding_issue' from d where regexp_matches(t, '[Ã¢â€ï¿½Â]|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')
   union all select doc_id, 'repetition' from rep
-  union all select doc_id, 'length_outlier' from d, s where sd > 0 and abs(w - m) > 2 * sd{f' union all select doc_id, {chr(39)}near_duplicate{chr(39)} from ({near})' if near else ''}
+  union all select doc_id, 'length_outlier' from d, s where sd > 0 and abs(w - m) > 2 * sd{also('near_duplicate', near)}{also('semantic_duplicate', semantic)}
 ), i as (
-  select category, case when category = 'empty_or_low_info' and count(*) / max(total) > 0.05 or category = 'near_duplicate' and count(*) / max(total) >= 0.1 then 'error' else 'warning' end as severity, count(*) as "count",
-    count(*) / max(total) as fraction, list(doc_id order by doc_id)[1:5] as sample from f, s group by category
+  select category, case when category = 'empty_or_low_info' and count(*) / max(total) > 0.05 or category = 'near_duplicate' and count(*) / max(total) >= 0.1 or category = 'semantic_duplicate' and count(*) / max(total) >= 0.15 then 'error' else 'warning' end as severity, count(*) as "count",
+    count(*) / max(total) as fraction, list(doc_id order by doc_id)[1:5] as sample from f, s group by category{classes if label else ''}
 )"""
 
 
-_ISSUES = issues_sql()
 PENALTY = "select greatest(0, least(100, floor(100 - coalesce(sum(least(25, case severity when 'error' then 15 else 5 end * fraction * 100)), 0))))::bigint as quality_score from i"
 
 
-@query("quality_issues", f"{_ISSUES} select * from i")
-def quality_issues(spark, sf_dir):
-    return quality.issues(documents(spark, sf_dir), "doc_id")
-
-
-@query("quality_score", f"{_ISSUES} {PENALTY}")
-def quality_score(spark, sf_dir):
-    return quality.penalty_score(quality.issues(documents(spark, sf_dir), "doc_id"))
-
-
-def _learned_sql() -> str:
-    share = lambda c: f"coalesce((select max(fraction) from i where category = '{c}'), 0)"
-    x = [y for c in quality.CATEGORIES for y in (f"({share(c)} > 0)::int", share(c))]
-    x += [f"(select count(*) from i where severity = '{s}')" for s in quality.SEVERITY] + ["(select count(*) from i)", "type_token_ratio", "hapax_ratio", "ln(1 + total_tokens)"]
-    x += ["case when length_mean > 0 and length_max > length_min then (length_max - length_min) / 4.0 / length_mean else 0 end", "ln(1 + (select count(*) from documents))", "1.0"]
-    z = " + ".join(f"({w}) * {v}" for w, v in zip(quality.WEIGHTS, x, strict=False))
-    return f"{_ISSUES} select floor(100 / (1 + exp(-({z}))))::bigint as learned_score from ({_VOCAB})"
-
-
-@query("learned_score", _learned_sql())
-def learned_score(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return quality.learned_score(quality.issues(docs, "doc_id"), stats.vocab_stats(docs), docs.count())
-
-
 _REJECT = f"""
 with d as (select doc_id, coalesce(text, '') as text from documents), w as (select doc_id, text, {TOKENS} as w from d
 ), a as (select doc_id, max(c) as c from (select doc_id, x, count(*) as c from (select doc_id, unnest(w) as x from w) group by doc_id, x) group by doc_id

@@ -499,3 +499,15 @@ def test_experiment_rows_and_training_fields(spark):
     assert records.trainable(df.withColumnsRenamed({"input": "instruction", "target": "output"}), "sft").count() == 2
     with pytest.raises(ValueError, match="label"):
         records.trainable(df.withColumn("text", F.lit("")), "classification")
+
+
+def test_issues_of_duplicates_and_classes(spark):
+    rows = [(i, "some words of a text", "a" if i < 38 else "b") for i in range(39)] + [(39, "more", None)]
+    df = spark.createDataFrame(rows, "id long, text string, kind string")
+    alike = df.where("id < 6").select("id")
+    got = {r["category"]: (r["severity"], r["count"], r["fraction"], r["sample"]) for r in quality.issues(df, "id", near=df.where("id < 2").select("id"), semantic=alike, label="kind").collect()}
+    assert got["near_duplicate"] == ("warning", 2, 0.05, [0, 1]) and got["semantic_duplicate"] == ("error", 6, 0.15, [0, 1, 2, 3, 4])
+    assert got["class_imbalance"] == ("warning", 1, 0.5, [])
+    few = df.withColumn("kind", F.when(F.col("id") < 5, F.col("kind")))
+    assert "class_imbalance" not in {r["category"] for r in quality.issues(few, "id", label="kind").collect()}
+    assert quality.issues(df.limit(0), "id", near=alike.limit(0), semantic=alike.limit(0), label="kind").count() == 0
