@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,5 +65,5 @@ def coherence(assigned: DataFrame) -> DataFrame:
 
 
 def judged_score(learned: Column, judge: Column) -> Column:
-    """The learned score and a judge's, 7 to 3, cut to a whole number."""
-    return F.floor(learned * 0.7 + judge * 0.3).cast("long")
+    """The learned score and a judge's, 7 to 3, cut to a whole number. Whole scores and decimals are mixed without rounding."""
+    return F.floor(learned * F.lit(Decimal("0.7")) + judge * F.lit(Decimal("0.3"))).cast("long")

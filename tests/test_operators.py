@@ -511,3 +511,9 @@ def test_issues_of_duplicates_and_classes(spark):
     few = df.withColumn("kind", F.when(F.col("id") < 5, F.col("kind")))
     assert "class_imbalance" not in {r["category"] for r in quality.issues(few, "id", label="kind").collect()}
     assert quality.issues(df.limit(0), "id", near=alike.limit(0), semantic=alike.limit(0), label="kind").count() == 0
+
+
+def test_judged_score_of_whole_numbers_is_exact(spark):
+    pairs = [(x, y) for x in range(101) for y in (0, 1, 50, 99, 100)]
+    got = spark.createDataFrame(pairs, "x long, y int").select("x", "y", topics.judged_score(F.col("x"), F.col("y")).alias("s")).collect()
+    assert [r for r in got if r["s"] != (7 * r["x"] + 3 * r["y"]) // 10] == []  # in doubles, 90 * 0.7 is less than 63
