@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievegate.functions.sketch import near_duplicate_rows
 from sievegate.functions.text import tokens, word_ngrams
-from sievegate.operators import quality, similarity, stats
+from sievegate.operators import quality, stats, terms
 from sievegate.queries import similarity as _  # noqa: F401  its oracles are parts of those here
 from sievegate.queries.profile import PENALTY, VOCAB, issues_sql
 from sievegate.queries.registry import ORACLE, documents, query
@@ -18,7 +18,7 @@ _ISSUES = issues_sql("documents", ORACLE["near_dup_rows"], ORACLE["semantic_dups
 def found(docs):
     """All checks; the language stands for a class."""
     near = near_duplicate_rows(docs, "doc_id", word_ngrams(tokens(F.lower("text")), 3))
-    alike = similarity.cosine_rows(similarity.term_weights(docs, "doc_id"), "doc_id", 0.90)
+    alike = terms.alike_rows(docs, "doc_id", 0.90)
     return quality.issues(docs, "doc_id", near=near, semantic=alike, label="lang")
 
 

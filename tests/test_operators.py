@@ -540,3 +540,23 @@ def test_alike_rows_against_plain_loops(spark, monkeypatch):
     assert 25 < len(want) < len(known) and sorted(got) == sorted(want)
     packed = terms.vectors(df, "doc_id", words).select(F.max(F.octet_length("f") - F.octet_length("t")), F.min(F.octet_length("f") / F.octet_length("t"))).first()
     assert tuple(packed) == (0, 0.5)  # two bytes for a place and one for a count, or two where a term occurs more than 255 times
+
+
+def test_issues_run_each_check_once(spark, tmp_path):
+    """Signatures and flags are made by one pass over the texts, however often later steps read them."""
+    df = docs(spark, *["one two three four five six"] * 3, "", "other words that nobody repeats at all")
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counted = df.mapInArrow(told, df.schema)
+    near = sketch.near_duplicate_rows(counted, "doc_id", text.word_ngrams(text.tokens(F.col("text")), 3))
+    assert sorted(r[0] for r in near.collect()) == [0, 1, 2] and seen.value == 5
+    made = quality.issues(counted, "doc_id", near=near)
+    before = seen.value
+    got = {r["category"]: (r["count"], r["sample"]) for r in made.collect()}
+    assert got["near_duplicate"] == (3, [0, 1, 2]) and got["empty_or_low_info"] == (1, [3])
+    assert seen.value - before <= 5  # the rows are counted anew, but no text is checked again
