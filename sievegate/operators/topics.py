@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
-from sievegate.operators.similarity import term_weights
+from sievegate.operators import terms
+from sievegate.sources.sinks import written
 
-#: Terms of the vocabulary, as many as term_weights takes by itself and the reference's vectorizer does.
+#: Terms of the vocabulary, as many as terms.vocabulary takes by itself and the reference's vectorizer does.
 TERMS = 10_000
 
 
@@ -22,18 +27,38 @@ def topic_count(n: int) -> int:
 def assign(df: DataFrame, key: str, text: str = "text", seed: int = 42) -> DataFrame:
     """key, topic, weights (term to weight) of the rows that have one of the TERMS most frequent terms; no rows below five documents."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    weights = term_weights(df, key, text, features=TERMS)
-    rows = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
-    places = {r["term"]: i for i, r in enumerate(weights.select("term").distinct().orderBy("term").collect())}  # TERMS at most
-    n = rows.count()
+    from pyspark.ml.linalg import VectorUDT
+
+    found, idf = terms.vocabulary(df, key, text, features=TERMS)
+    packed = terms.vectors(df, key, found, text).drop("h")
+    wide = len(found)
+    ends = lambda start: pa.array(start.astype(np.int32))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                start, place, w = terms.unpacked(part.column(1), part.column(2), idf)
+                lists = [pa.ListArray.from_arrays(ends(start), pa.array(x)) for x in (place.astype(np.int32), w)]
+                fixed = [pa.array(np.full(part.num_rows, v, dtype=k)) for v, k in ((0, np.int8), (wide, np.int32))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays([*fixed, *lists], names=["type", "size", "indices", "values"])], names=[*part.schema.names, "features"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(found, pa.string())
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                start, place, w = terms.unpacked(part.column(2), part.column(3), idf)
+                weights = pa.MapArray.from_arrays(ends(start), words.take(pa.array(place)), pa.array(w))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], weights], names=[*part.schema.names[:2], "weights"])
+
+    # written once as what a vector consists of and reread as vectors, so no row passes a function of its own and no round makes them anew
+    stored = written(packed.mapInArrow(spread, StructType([*packed.schema, StructField("features", VectorUDT.sqlType())])))
+    vectors = df.sparkSession.read.schema(StructType([*packed.schema, StructField("features", VectorUDT())])).parquet(stored._sievegate_path)
+    n = vectors.count()
+    out = StructType([packed.schema[key], StructField("topic", IntegerType()), StructField("weights", MapType(StringType(), DoubleType()))])
     if df.count() < 5 or n < 2:
-        return rows.select(key, F.lit(0).alias("topic"), "weights").limit(0)
-    sparse = F.udf(lambda own: Vectors.sparse(len(places), {places[t]: w for t, w in own.items()}), VectorUDT())
-    vectors = rows.withColumn("features", sparse("weights"))
-    model = KMeans(k=topic_count(n), seed=seed, maxIter=50, distanceMeasure="cosine", predictionCol="topic").fit(vectors)
-    return model.transform(vectors).select(key, "topic", "weights")
+        return df.sparkSession.createDataFrame([], out)
+    model = KMeans(k=topic_count(n), seed=seed, maxIter=50, distanceMeasure="cosine", predictionCol="topic").fit(vectors.select("features"))
+    return model.transform(vectors).select(key, "topic", "t", "f").mapInArrow(named, out)
 
 
 def topics(assigned: DataFrame, top: int = 5) -> DataFrame:
