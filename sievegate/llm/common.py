@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegate.sources.sinks import forget, shared_dir, written  # noqa: F401
+from sievegate.sources.sinks import forget, shared_dir, swept, written  # noqa: F401
 
 
 #: Bytes of input for each partition of a shuffle whose tasks hold what they read; more partitions than are set are used where the input needs them.

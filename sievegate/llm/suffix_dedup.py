@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import lean, need, partitions, written, written_by
+from .common import lean, need, partitions, swept, written, written_by
 
 U = np.uint64
 #: Bits of a gram's hash that are sent, beside its bucket.
@@ -519,6 +519,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     shared = packs.repartition(p, "bucket").mapInArrow(lean(_held_twice), "rid long, grams binary").groupBy("rid").agg(F.collect_list("grams").alias("grams"))
     firsts = base.where("key = least").select("key", salt.alias("salt")).select(rid.alias("rid")).distinct()
     held = written_by(named.join(shared.join(firsts, "rid"), "rid").select("key", "salt", "rid", "id", "text", "grams"), "rid", p)
+    swept(df.sparkSession)  # the packs and shared grams, which are as large as the contexts, are read no more
 
     contexts = held.select("key", "salt", "text", "grams").mapInArrow(lean(lambda x: _context_rows(x, length, buckets)), CONTEXT)
     # settled contexts only pass through, so they go by their row and not by a context that many rows share

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievegate.llm import bpe, decontaminate, graph, hashing, langid, ngram_join, oracles, pii_spans, quality, queries, sharding, spotsigs, suffix_dedup, url_filter
+from sievegate.sources.sinks import swept
 
 random.seed(11)
 VOCABULARY = [f"{a}{b}" for a in ("ba", "co", "di", "fu", "gre", "hal") for b in ("ton", "ver", "mis", "lar", "p", "q")]
@@ -972,3 +973,23 @@ def test_language_of_few_words(spark):
     right = [np.mean([p == lang for (p, _), (_, lang) in zip(profiles.predict([" ".join(t.split()[:w]) for t, _ in held]), held, strict=True)]) for w in (1, 2, 3)]
     print(len(held), right)
     assert right[0] >= 0.81 and right[1] >= 0.93 and right[2] >= 0.97
+
+
+def test_suffix_dedup_lets_the_shuffle_files_of_ended_plans_go(spark, monkeypatch):
+    """Before the contexts are made, the packs' shuffle files go: both together passed the disk limit."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 7 for _ in range(40))) for i in range(40)]
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    counts = []
+
+    def watched(session):
+        counts.append(blocks.getAllFiles().size())
+        swept(session)
+        ends = time.time() + 20
+        while blocks.getAllFiles().size() >= counts[0] and time.time() < ends:
+            time.sleep(0.1)
+        counts.append(blocks.getAllFiles().size())
+
+    monkeypatch.setattr(suffix_dedup, "swept", watched)
+    suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(counts) == 2 and counts[1] < counts[0], counts
