@@ -612,3 +612,23 @@ def test_best_jaccard_sends_sets_to_few_tiles(spark):
         assert size() - before < 8 * 400 * 4000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_best_by_bands_sends_no_pairs(spark):
+    """A pair counts if it reaches least and shares a band; that is asked in the tiles, where pairs that share a band were once joined and sent."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(30)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 60)))) for i in range(90)]
+    sets = sketch.char_sets(spark.createDataFrame(texts, "id long, t string"), "id", F.col("t"))
+    train, other = sets.where("id % 3 > 0"), sets.where("id % 3 = 0")
+    grams = {r["id"]: set(np.frombuffer(r["g"], dtype=np.int64).tolist()) for r in sets.collect()}
+    sig = {r["node"]: r["sig"] for r in sketch.signed_sets(sets.withColumnRenamed("id", "node"), "node", 128).collect()}
+    bands, rows = sketch.bands(128, 0.7)
+    met = lambda i, j: any(sig[i][b * rows : (b + 1) * rows] == sig[j][b * rows : (b + 1) * rows] for b in range(bands))
+    want = {}
+    for i in [x for x in grams if x % 3 == 0]:
+        found = [(len(grams[i] & grams[j]) / len(grams[i] | grams[j]), -j) for j in grams if j % 3 and met(i, j)]
+        if found and max(found)[0] >= 0.7:
+            want[i] = (-max(found)[1], max(found)[0])
+    got = similarity.best_by_bands(train, other, 0.7)
+    assert {r["eval_id"]: (r["train_id"], r["similarity"]) for r in got.collect()} == want and want
